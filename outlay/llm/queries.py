@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outlay.llm import sharding, topk, url_filter
+from outlay.llm import decontaminate, packing, sharding, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
     "op6_hypergeometric_sharding": sharding.op6_hypergeometric_sharding,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_packing": packing.op8_packing,
     "op10_bitsliced_topk": topk.op10_bitsliced_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_decontamination": decontaminate.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op10_bitsliced_topk": topk.ORACLE,
 }
