@@ -30,7 +30,7 @@ SEQUENCE = 4096
 CLOSING_ID = 2
 SALTS = 64
 #: Distinct words whose ids a task keeps; beyond, it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 class WordTokenizer:
@@ -38,10 +38,11 @@ class WordTokenizer:
 
     The tokenizer's pre-tokenisation never crosses a space or newline, so ids of a text are
     those of its space-separated parts in order. Texts that may hold a special token's
-    string are encoded whole.
+    string are encoded whole (and kept as if one word).
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, closing: int = CLOSING_ID) -> None:
+        self.closing = closing
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,40 +50,43 @@ class WordTokenizer:
         self._reset()
 
     def _reset(self) -> None:
+        """Code 0 is the empty part, code 1 closes a document."""
         self.code: dict[str, int] = {"": 0}
-        self.start, self.length, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.start, self.length, self.ids = np.zeros(2, np.int64), np.array([0, 1]), np.array([self.closing], dtype=np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.code) > CACHE_WORDS:
-            self._reset()
-            words = list(dict.fromkeys(w for w in words if w))
-        if not words:
-            return
         e = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        length = np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(words)) if len(e.ids) else np.zeros(len(words), np.int64)
-        at = len(self.ids) + np.cumsum(length) - length
-        for w in words:
-            self.code[w] = len(self.code)
-        self.start, self.length = np.concatenate([self.start, at]), np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, np.asarray(e.ids, dtype=np.uint32)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [[] if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for p in parts for w in p} - self.code.keys()
-        if len(self.code) + len(new) > CACHE_WORDS:
+        self._add(words, np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(words)), e.ids)
+
+    def _add(self, words: list[str], length: np.ndarray, ids: list[int]) -> None:
+        self.code.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, np.asarray(ids, dtype=np.uint32)])
+
+    def encode_closed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with its closing id, in a row; and where each ends."""
+        if len(self.code) > CACHE_WORDS:
             self._reset()
-            new = {w for p in parts for w in p} - self.code.keys()
-        self._learn(sorted(new))
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            if "<|" in t:
-                out.append(np.asarray(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            code = np.fromiter(map(self.code.__getitem__, p), dtype=np.int64, count=len(p))
-            length = self.length[code]
-            ends = np.cumsum(length)
-            out.append(self.ids[np.repeat(self.start[code] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        parts = [[t] if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
+        words = [w for p in parts for w in p]
+        seen = set(words)
+        new = sorted(seen.difference(self.code))
+        if new:
+            plain = [w for w in new if "<|" not in w]
+            if plain:
+                self._learn(plain)
+            for w in new:
+                if "<|" in w:
+                    ids = self.tok.encode(w, add_special_tokens=False).ids
+                    self._add([w], np.array([len(ids)]), ids)
+        code = np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum([len(p) for p in parts])
+        code = np.insert(code, ends, 1)
+        length = self.length[code]
+        stop = np.cumsum(length)
+        ids = self.ids[np.repeat(self.start[code] - stop + length, length) + np.arange(stop[-1])]
+        return ids, stop[ends + np.arange(len(ends))]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -91,14 +95,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
-            for at in range(0, len(ids), 256):
-                for doc, tokens in zip(ids[at : at + 256], tok.encode([t or "" for t in texts.slice(at, 256).to_pylist()]), strict=True):
-                    tokens = np.append(tokens, np.uint32(CLOSING_ID)).astype("<u4")
-                    for s in range(0, len(tokens), sequence):
-                        part = tokens[s : s + sequence]
-                        rows.append((doc, s, len(part), zlib.crc32(part.tobytes()), len(tokens)))
+            for at in range(0, len(docs), 256):
+                ids, ends = tok.encode_closed([t or "" for t in texts.slice(at, 256).to_pylist()])
+                raw, first = memoryview(ids.astype("<u4").tobytes()), 0
+                for doc, end in zip(docs[at : at + 256], ends.tolist(), strict=True):
+                    for s in range(first, end, sequence):
+                        e = min(s + sequence, end)
+                        rows.append((doc, s - first, e - s, zlib.crc32(raw[4 * s : 4 * e]), end - first))
+                    first = end
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

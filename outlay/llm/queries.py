@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outlay.llm import decontaminate, packing, sharding, topk, url_filter
+from outlay.llm import decontaminate, packing, sharding, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
     "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
     "op6_hypergeometric_sharding": sharding.op6_hypergeometric_sharding,
     "op7_url_filter": url_filter.op7_url_filter,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op3_suffix_decontamination": decontaminate.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op10_bitsliced_topk": topk.ORACLE,
