@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outlay.llm import decontaminate, packing, sharding, topk, url_filter, warc
+from outlay.llm import decontaminate, jaccard, packing, sharding, topk, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_hypergeometric_sharding": sharding.op6_hypergeometric_sharding,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_packing": packing.op8_packing,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_bitsliced_topk": topk.op10_bitsliced_topk,
 }
 
@@ -21,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op3_suffix_decontamination": decontaminate.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op9_ngram_jaccard": jaccard.ORACLE,
     "op10_bitsliced_topk": topk.ORACLE,
 }
