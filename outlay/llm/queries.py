@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outlay.llm import decontaminate, jaccard, packing, sharding, topk, toxicity, url_filter, warc
+from outlay.llm import decontaminate, extract, jaccard, packing, repeats, sharding, topk, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op2_main_text": extract.op2_main_text,
     "op3_suffix_decontamination": decontaminate.op3_suffix_decontamination,
+    "op4_suffix_repeats": repeats.op4_suffix_repeats,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_hypergeometric_sharding": sharding.op6_hypergeometric_sharding,
     "op7_url_filter": url_filter.op7_url_filter,
