@@ -45,9 +45,9 @@ SEGMENTS = 64
 HOT = 4096
 LEADERS = 64
 #: Postings that a bucket holds on average, and that a task packs before it sends them.
-BUCKET_POSTINGS = 1 << 21
-FLUSH_POSTINGS = 1 << 21
-MIN_BUCKETS = 512
+BUCKET_POSTINGS = 1 << 19
+FLUSH_POSTINGS = 1 << 22
+MIN_BUCKETS = 64
 #: Bytes of ids up to which a side of a join is broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -138,11 +138,16 @@ def prefix(s: np.ndarray, classes: np.ndarray, order: int, threshold: tuple[int,
 
 #: Above a set's size, a bit for each order under which its prefix has a token that may be hot.
 _FLAG_AT = 40
-_POSTINGS = "bucket int, tokens binary, owner binary, sigs binary, sizes binary"
+_POSTINGS = "bucket int, tokens binary, many binary, sigs binary, sizes binary"
+#: Groups that the tokens that may be hot are dealt to, by the set they stand in.
+_ASIDE = 64
 
 
 def _postings(docs: DataFrame, classes, hot, n_buckets: int, threshold: tuple[int, int]) -> DataFrame:  # noqa: ANN001
-    """Packed prefix postings; bucket -1 - order holds the tokens that may be hot."""
+    """Packed prefix postings. Within a bucket a token is 32 bits of its hash: a chance twin only adds a candidate.
+
+    Tokens that may be hot are set aside in negative buckets, for the first order alone.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         klass, is_hot = classes.value, hot.value
@@ -155,16 +160,21 @@ def _postings(docs: DataFrame, classes, hot, n_buckets: int, threshold: tuple[in
             for order in range(ORDERS):
                 tokens = np.concatenate(parts[order])
                 owner = np.repeat(np.arange(len(parts[order])), [len(p) for p in parts[order]])
-                bucket = order * n_buckets + (mix(tokens) % _U(n_buckets)).astype(np.int64)
-                bucket[is_hot[(tokens & _U(COUNTERS - 1)).astype(np.int64)]] = -1 - order
+                spread = mix(tokens)
+                bucket = order * n_buckets + (spread % _U(n_buckets)).astype(np.int64)
+                aside = is_hot[(tokens & _U(COUNTERS - 1)).astype(np.int64)]
+                bucket[aside] = -1 - s[owner[aside]] % _ASIDE
+                short = (spread // _U(n_buckets)).astype(np.uint32)
                 by = np.argsort(bucket, kind="stable")
                 bounds = np.flatnonzero(np.diff(bucket[by], prepend=bucket[by[:1]] - 1))
                 for i, j in zip(bounds, [*bounds[1:], len(by)], strict=True):
                     own = by[i:j]
-                    used, local = np.unique(owner[own], return_inverse=True)
-                    rows.append((int(bucket[own[0]]), tokens[own].tobytes(), local.astype(np.int32).tobytes(), s[used].tobytes(), z[used].tobytes()))
+                    if order and bucket[own[0]] < 0:
+                        continue
+                    used, many = np.unique(owner[own], return_counts=True)
+                    rows.append((int(bucket[own[0]]), short[own].tobytes(), many.astype(np.uint32).tobytes(), s[used].tobytes(), z[used].tobytes()))
             kinds = [pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "tokens", "owner", "sigs", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "tokens", "many", "sigs", "sizes"])
 
         for batch in batches:
             for s in shingle_sets(batch.column(1).to_pylist()):
@@ -197,10 +207,10 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Distinct (token, sig) with sizes and flags, sorted by token and size."""
     token, sig, size = [], [], []
     for r in pdf.itertuples(index=False):
-        owner = np.frombuffer(r.owner, np.int32)
-        token.append(np.frombuffer(r.tokens, np.uint64))
-        sig.append(np.frombuffer(r.sigs, np.int64)[owner])
-        size.append(np.frombuffer(r.sizes, np.int64)[owner])
+        many = np.frombuffer(r.many, np.uint32)
+        token.append(np.frombuffer(r.tokens, np.uint32))
+        sig.append(np.repeat(np.frombuffer(r.sigs, np.int64), many))
+        size.append(np.repeat(np.frombuffer(r.sizes, np.int64), many))
     token, sig, size = np.concatenate(token), np.concatenate(sig), np.concatenate(size)
     flags, size = size >> _FLAG_AT, size & ((1 << _FLAG_AT) - 1)
     by = np.lexsort((sig, size, token))
@@ -216,15 +226,18 @@ _FOUND = "x long, y long, orders int, token long, size long"
 def _bucket_pairs(n_buckets: int, hot: int, threshold: tuple[int, int]):  # noqa: ANN202
     """Pairs of one bucket whose sizes fit: (x, y, orders that they may share a token under).
 
-    Groups of more than `hot` members are passed on as postings: (x, token, size, orders).
+    Groups of more than `hot` members are passed on as postings (x, token, size, orders), and
+    so is what was set aside.
     """
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = int(pdf["bucket"].iloc[0]) // n_buckets
+        bucket = int(pdf["bucket"].iloc[0])
+        order = max(0, bucket // n_buckets)
         token, sig, size, flags = _unpack(pdf)
         first, end = np.searchsorted(token, token, side="left"), np.searchsorted(token, token, side="right")
-        large = end - first > hot
-        passed = pd.DataFrame({"x": sig[large], "y": sig[large], "orders": np.int32(1 << order), "token": token[large].view(np.int64), "size": size[large]}).astype({"token": "Int64", "size": "Int64"})
+        large = (end - first > hot) | (bucket < 0)
+        named = token[large].astype(np.int64) + (max(-1, bucket) << 32)
+        passed = pd.DataFrame({"x": sig[large], "y": sig[large], "orders": np.int32(1 << order), "token": named, "size": size[large]}).astype({"token": "Int64", "size": "Int64"})
         a, b, step = [], [], 1
         live = np.flatnonzero((np.arange(len(token)) + 1 < end) & ~large)
         while len(live):
@@ -314,18 +327,10 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     counts = _counters(surveyed)
     n_buckets = max(MIN_BUCKETS, int(counts.sum() // BUCKET_POSTINGS))
     klass, is_hot = spark.sparkContext.broadcast(commonness(counts)), spark.sparkContext.broadcast(counts > hot + 2 * counts.mean())
-    packed = materialise(_postings(docs, klass, is_hot, n_buckets, threshold))
-    found = materialise(packed.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket_pairs(n_buckets, hot, threshold), _FOUND))
-
-    def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(len(pdf)):
-                token, sig, size, _ = _unpack(pdf.iloc[i : i + 1])
-                yield pd.DataFrame({"token": token.view(np.int64), "sig": sig, "size": size})
-
+    packed = _postings(docs, klass, is_hot, n_buckets, threshold)
+    found = materialise(packed.groupBy("bucket").applyInPandas(_bucket_pairs(n_buckets, hot, threshold), _FOUND))
     large = found.where("token is not null")
-    warm = packed.where("bucket = -1").mapInPandas(hot_rows, "token long, sig long, size long")
-    warm = warm.unionByName(large.where("orders = 1").select("token", F.col("x").alias("sig"), "size")).distinct()
+    warm = large.where("orders = 1").select("token", F.col("x").alias("sig"), "size").distinct()
     per_pair = found.where("token is null").groupBy("x", "y").agg(F.bit_or("orders").alias("orders"))
     # large groups passed on under a later order say nothing about pairs: then any one order's word is enough
     agreed = per_pair if not large.where("orders > 1").isEmpty() else per_pair.where(F.col("orders") == (1 << ORDERS) - 1)
