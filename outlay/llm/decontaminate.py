@@ -200,9 +200,23 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit word."""
-    return find_matches(docs, benchmark).where("n_hit = 0").select("doc_id", "text")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents without any hit word, with all their columns; one pass for each block of items."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            test = TestSet(shared.value)
+            for batch in batches:
+                if batch.num_rows:
+                    _, _, runs = _search(test, batch.column(at).to_pylist())
+                    keep = np.ones(batch.num_rows, dtype=bool)
+                    keep[runs[:, 0]] = False
+                    yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,37 +289,74 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, split: int = SPLIT, keep_bytes: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text", F.octet_length("text")))
-    n_bytes = F.octet_length("text").cast("long")
-    copied = docs.where(n_bytes >= WINDOW).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig", F.lit(True).alias("copied"))
-    spans = materialise(repeated_spans(docs.where(n_bytes >= WINDOW).select("sig", "text"), split))
+def _with_spans(docs: DataFrame, split: int) -> DataFrame:
+    """docs(text, ...) without nulls in text -> the same rows with _spans and _copied."""
+    docs = docs.withColumn("_sig", F.xxhash64("text", F.octet_length("text")))
+    long_ = docs.where(F.octet_length("text") >= WINDOW).select(F.col("_sig").alias("sig"), "text")
+    copied = long_.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig", F.lit(True).alias("copied"))
+    spans = materialise(repeated_spans(long_, split))
     size = spans.agg(F.coalesce(F.sum(F.size("spans") * 16 + 32), F.lit(0))).first()[0]
-    all_ = materialise(spans.join(copied, "sig", "full").select("sig", "spans", F.coalesce("copied", F.lit(False)).alias("copied")))
+    all_ = materialise(spans.join(copied, "sig", "full").select(F.col("sig").alias("_sig"), F.col("spans").alias("_spans"), F.coalesce("copied", F.lit(False)).alias("_copied")))
     few = F.broadcast(all_) if size + all_.count() * 16 <= BROADCAST_BYTES else all_
-    found = docs.join(few, "sig", "left")
+    return docs.join(few, "_sig", "left").drop("_sig")
+
+
+def _gone(text: bytes, spans: list[dict] | None, copied: bool | None) -> list[tuple[int, int]]:
+    return [(0, len(text))] if copied else merged([(s["first"], s["last"]) for s in spans or []])
+
+
+def _rest(text: bytes, gone: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for first, last in gone:
+        kept.append(text[at:first])
+        at = last
+    return b"".join([*kept, text[at:]])
+
+
+def remove_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text, spans, copied in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 b = text.encode()
-                gone = [(0, len(b))] if copied else merged([(s["first"], s["last"]) for s in spans or []])
-                kept, at = [], 0
-                for first, last in gone:
-                    kept.append(b[at:first])
-                    at = last
-                kept = b"".join([*kept, b[at:]])
-                rows.append((doc_id, len(b), len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
+                gone = _gone(b, spans, copied)
+                kept = _rest(b, gone)
+                rows.append((doc_id, len(b), len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
+
+    return _with_spans(docs, split).select("doc_id", "text", "_spans", "_copied").mapInArrow(cut, _CUT)
+
+
+def without_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """docs(text, n_chars, ...) with the remaining text and its length; null text stays null.
+
+    Bytes that the cuts leave of a split character go with it.
+    """
+    schema, names = docs.schema, docs.columns
+    found = _with_spans(docs.withColumn("_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))), split)
+    text_at, chars_at = names.index("text"), names.index("n_chars")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = []
+            for text, null, spans, copied in zip(columns[text_at].to_pylist(), *(c.to_pylist() for c in columns[len(names) :]), strict=True):
+                b = text.encode()
+                texts.append(None if null else _rest(b, _gone(b, spans, copied)).decode("utf-8", "ignore"))
+            chars = columns[chars_at].to_pylist()
+            lengths = [c if t is None else len(t) for t, c in zip(texts, chars, strict=True)]
+            columns[text_at], columns[chars_at] = pa.array(texts, columns[text_at].type), pa.array(lengths, columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
-    return found.select("doc_id", "text", "spans", "copied").mapInArrow(cut, _CUT)
+    return found.select(*names, "_null", "_spans", "_copied").mapInArrow(cut, schema)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
