@@ -49,7 +49,6 @@ _AROUND = [(max(0, WINDOW - _STEP - y), y) for y in range(ANCHOR, WINDOW + 1, _S
 BUCKET_ROWS = 20_000
 FLUSH_ROWS = 60_000
 MIN_BUCKETS = 256
-BROADCAST_BYTES = 16 << 20
 
 _U = np.uint64
 _SEGMENT = 1 << 24
@@ -297,11 +296,8 @@ def _with_spans(docs: DataFrame, split: int) -> DataFrame:
     docs = docs.withColumn("_sig", F.xxhash64("text", F.octet_length("text")))
     long_ = docs.where(F.octet_length("text") >= WINDOW).select(F.col("_sig").alias("sig"), "text")
     copied = long_.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig", F.lit(True).alias("copied"))
-    spans = materialise(repeated_spans(long_, split))
-    size = spans.agg(F.coalesce(F.sum(F.size("spans") * 16 + 32), F.lit(0))).first()[0]
-    all_ = materialise(spans.join(copied, "sig", "full").select(F.col("sig").alias("_sig"), F.col("spans").alias("_spans"), F.coalesce("copied", F.lit(False)).alias("_copied")))
-    few = F.broadcast(all_) if size + all_.count() * 16 <= BROADCAST_BYTES else all_
-    return docs.join(few, "_sig", "left").drop("_sig")
+    spans = repeated_spans(long_, split).join(copied, "sig", "full")
+    return docs.join(spans.select(F.col("sig").alias("_sig"), F.col("spans").alias("_spans"), F.coalesce("copied", F.lit(False)).alias("_copied")), "_sig", "left").drop("_sig")
 
 
 def _gone(text: bytes, spans: list[dict] | None, copied: bool | None) -> list[tuple[int, int]]:
