@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def split_members(df: DataFrame, key: str, codes: str, names: str, separator: str = ";") -> DataFrame:
     """One row a member: key, ordinal from 0, code, name; blank codes are dropped, missing names null."""
-    part = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), separator), F.trim)
+    part = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), separator), lambda x: F.trim(x))
     zipped = df.select(key, F.posexplode(F.arrays_zip(part(codes).alias("code"), part(names).alias("name"))))
     return zipped.select(key, F.col("pos").alias("ordinal"), F.col("col.code").alias("code"), F.nullif(F.col("col.name"), F.lit("")).alias("name")).where("code <> ''")
 
