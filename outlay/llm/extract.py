@@ -342,8 +342,11 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Trees:
     from pyspark.ml.functions import array_to_vector
 
     spark = pages.sparkSession
-    marked = pages.where("html like '%<article%'").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    x, y = training_nodes([r["html"] for r in marked.select("html").collect()])
+    marked = pages.where("html like '%<article%' and page_id is not null").select("page_id", "html")
+    # ids alone are ordered first: each task sends the driver its own `sample` rows
+    chosen = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    texts = marked.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    x, y = training_nodes([r["html"] for r in sorted(texts.collect(), key=lambda r: r["page_id"])])
     nodes = spark.createDataFrame(pd.DataFrame({"x": x.astype(float).tolist(), "label": y})).coalesce(2)
     model = GBTClassifier(featuresCol="v", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=5, minInstancesPerNode=5).fit(nodes.select(array_to_vector("x").alias("v"), "label"))
     return Trees([_arrays(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees], list(model.treeWeights))
