@@ -142,9 +142,11 @@ def _units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     step = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1) * (UNIT // 2)
     more = np.repeat(start[long_], n) + step
     tiny = size <= 2
-    edge = np.diff(np.concatenate([[False], tiny, [False]]).astype(np.int8))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-    run = (b - a >= 2) & (owner[np.minimum(a, len(owner) - 1)] == owner[np.minimum(b, len(owner) - 1)]) if len(owner) else np.zeros(0, bool)
+    begins = np.diff(owner, prepend=-1) > 0
+    begins[1:] |= ~tiny[:-1]
+    a = np.flatnonzero(tiny & begins)
+    b = np.flatnonzero(tiny & np.append(begins | ~tiny, True)[1:])
+    run = b - a >= 2
     a, b = a[run], b[run]
     return (
         np.concatenate([start, more, start[a]]),

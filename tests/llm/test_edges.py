@@ -61,6 +61,15 @@ def test_no_labels_means_score_zero(spark):
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic long"))).collect()} == {0.0}
 
 
+def test_toxicity_of_a_text_does_not_depend_on_its_neighbours(spark):
+    kernels = toxicity.Kernels(_model(spark).landmarks)
+    texts = ["you z o r g w i t", "is it so", "To be or z o r g w i t", "It is a calm remark", None, "a b", "z o r g w i t"]
+    alone = [kernels.pooled([x])[0].tolist() for x in texts]
+    assert [any(x) for x in alone] == [True, False, True, False, False, False, True]
+    for order in (range(7), range(6, -1, -1), [2, 0, 6, 1, 5, 3, 4]):
+        assert kernels.pooled([texts[i] for i in order]).tolist() == [alone[i] for i in order]
+
+
 def test_near_copies_link_and_common_passages_do_not(spark):
     words = [f"t{i}" for i in range(100)]
     near = [*words[:50], "changed", *words[51:]]
