@@ -1,7 +1,7 @@
 """Toxicity: a support vector machine on the gap-weighted subsequence string kernel.
 
 Units are the words of a text (and runs of one- or two-byte words joined, which catches
-spelled-out words). The kernel counts common subsequences of three bytes, each weighted by
+spelled-out words), in overlapping pieces if they are long. The kernel counts common subsequences of three bytes, each weighted by
 DECAY to the length it spans, so gaps and inserted characters cost little. It is computed
 against a few landmark strings only (Nystrom): the features of a text are the landmarks'
 kernel values, the largest over its units, times K_mm**-1/2.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import NOT_SPACE, Words, chunks
+from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, prefix_sums, span_hashes
 
 SAMPLE = 1000
 LANDMARKS = 64
@@ -37,7 +37,7 @@ DECAY = 0.5
 ORDER = 3
 POWER = 4
 FLOOR = 0.5
-#: Bytes of a unit; longer words become overlapping units of this length.
+#: Bytes of a unit; longer words and joined runs become overlapping units of this length.
 UNIT = 24
 _GRAMS = (4, 5, 6)
 
@@ -106,13 +106,13 @@ class Kernels:
         out = np.zeros((len(texts), len(self.landmarks)), dtype=np.float32)
         for first, part in chunks(texts):
             words = Words(part, NOT_SPACE)
-            start, end, owner = _units(words)
-            key, at, which = np.unique(_unit_hash(words, start, end), return_index=True, return_inverse=True)
+            data, start, end, owner = _units(words)
+            key, at, which = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
             known = np.isin(key, self.dull, assume_unique=True)
             new = np.flatnonzero(~known)
             if not len(new):
                 continue
-            v = self.values(_bytes_of(words.data, start[at[new]], end[at[new]]))
+            v = self.values(_bytes_of(data, start[at[new]], end[at[new]]))
             some = v.any(axis=1)
             self._remember(key[new[~some]])
             row_of = np.full(len(key), -1)
@@ -129,53 +129,49 @@ class Kernels:
             self.fresh = []
 
 
-def _units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of the buffer and the text of each: words, pieces of long ones, runs of tiny ones.
+def _units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A buffer, spans of it and the text of each: words and runs of tiny ones, long ones in pieces.
 
-    A run of tiny words is one span, spaces included; they are taken out with the bytes.
+    The letters of the runs, without the spaces between, follow the texts in the buffer.
     """
     start, end = words.start, words.end
     owner = np.searchsorted(words.first, np.arange(len(start)), side="right") - 1
-    size = end - start
-    long_ = np.flatnonzero(size > UNIT)
-    n = (size[long_] - UNIT + UNIT // 2 - 1) // (UNIT // 2)
-    step = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1) * (UNIT // 2)
-    more = np.repeat(start[long_], n) + step
-    tiny = size <= 2
+    tiny = end - start <= 2
     begins = np.diff(owner, prepend=-1) > 0
     begins[1:] |= ~tiny[:-1]
     a = np.flatnonzero(tiny & begins)
     b = np.flatnonzero(tiny & np.append(begins | ~tiny, True)[1:])
     run = b - a >= 2
     a, b = a[run], b[run]
+    inside = np.zeros(len(start) + 1, dtype=np.int8)
+    inside[a] += 1
+    inside[b + 1] -= 1
+    inside = np.cumsum(inside)[:-1] > 0
+    one, two = start[inside], end[inside] - start[inside] == 2
+    letters = words.data[np.repeat(one, 1 + two) + _second(two)]
+    filled = len(words.data) + np.concatenate([[0], np.cumsum(np.where(inside, end - start, 0))])
+    start, end, owner = np.concatenate([start, filled[a]]), np.concatenate([end, filled[b + 1]]), np.concatenate([owner, owner[a]])
+    n = np.maximum(0, -(-(end - start - UNIT) // (UNIT // 2)))
+    more = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1) * (UNIT // 2)
     return (
-        np.concatenate([start, more, start[a]]),
-        np.concatenate([np.minimum(end, start + UNIT), np.minimum(more + UNIT, np.repeat(end[long_], n)), np.minimum(end[b], start[a] + 2 * UNIT)]),
-        np.concatenate([owner, np.repeat(owner[long_], n), owner[a]]),
+        np.concatenate([words.data, letters]),
+        np.concatenate([start, more]),
+        np.concatenate([np.minimum(end, start + UNIT), np.minimum(more + UNIT, np.repeat(end, n))]),
+        np.concatenate([owner, np.repeat(owner, n)]),
     )
 
 
-def _unit_hash(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    from outlay.llm.bytes_text import prefix_sums, span_hashes
-
-    return span_hashes(prefix_sums(words.data), start, end)
+def _second(two: np.ndarray) -> np.ndarray:
+    """0 for each word, followed by 1 for each that has two bytes."""
+    out = np.zeros(len(two) + int(two.sum()), dtype=np.int64)
+    out[np.cumsum(1 + two)[two] - 1] = 1
+    return out
 
 
 def _bytes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Rows of a unit's bytes without white space, zero-padded to UNIT."""
-    size = end - start
-    out = np.zeros((len(start), UNIT), dtype=np.uint8)
-    wide = size > UNIT
+    """Rows of a unit's bytes, zero-padded to UNIT."""
     steps = np.arange(UNIT)
-    inside = steps < size[:, None]
-    got = np.where(inside, data[np.minimum(start[:, None] + steps, len(data) - 1)], 0)
-    spaced = wide | (~NOT_SPACE[got] & inside).any(axis=1)
-    out[~spaced] = got[~spaced]
-    for i in np.flatnonzero(spaced):
-        b = data[start[i] : end[i]]
-        b = b[NOT_SPACE[b]][:UNIT]
-        out[i, : len(b)] = b
-    return out
+    return np.where(steps < (end - start)[:, None], data[np.minimum(start[:, None] + steps, len(data) - 1)], 0).astype(np.uint8)
 
 
 def _gram_sets(texts: list[str]) -> list[np.ndarray]:

@@ -70,6 +70,15 @@ def test_toxicity_of_a_text_does_not_depend_on_its_neighbours(spark):
         assert kernels.pooled([texts[i] for i in order]).tolist() == [alone[i] for i in order]
 
 
+@pytest.mark.parametrize("before", ["", "a b c d e f g h " * 5, "q " * 23, "in of to " * 400])
+@pytest.mark.parametrize("space", [" ", "  \t\n ", " " * 60])
+def test_an_insult_is_found_anywhere_in_a_run_of_tiny_words(before, space, spark):
+    kernels = toxicity.Kernels(_model(spark).landmarks)
+    spelled = space.join("zorgwit")
+    for text in (before + spelled, before + spelled + " q" * 30, before + "zo" + space + "rg" + space + "wi" + space + "t"):
+        assert kernels.pooled(["calm", text, "remark"]).max(axis=1).round(6).tolist() == [0, 1, 0]
+
+
 def test_near_copies_link_and_common_passages_do_not(spark):
     words = [f"t{i}" for i in range(100)]
     near = [*words[:50], "changed", *words[51:]]
