@@ -1,17 +1,19 @@
 """Toxicity: a support vector machine on the gap-weighted subsequence string kernel.
 
 Units are the words of a text (and runs of one- or two-byte words joined, which catches
-spelled-out words), in overlapping pieces if they are long. The kernel counts common subsequences of three bytes, each weighted by
-DECAY to the length it spans, so gaps and inserted characters cost little. It is computed
-against a few landmark strings only (Nystrom): the features of a text are the landmarks'
-kernel values, the largest over its units, times K_mm**-1/2.
+spelled-out words), in overlapping pieces if they are long. The kernel counts common
+subsequences, each weighted by a decay to the length it spans. Two are added (``KERNELS``):
+three bytes with a steep decay tell near copies, four bytes with a gentle one tell a landmark
+with foreign bytes between all its letters. They are computed against a few landmark strings
+only (Nystrom): the features of a text are the landmarks' kernel values, the largest over its
+units, times K_mm**-1/2.
 
 Landmarks come from labelled training texts: the strings most of whose texts are toxic,
 grown while all their occurrences agree, one for each group that stands in the same texts.
 Fitting uses at most ``SAMPLE`` labelled training texts of either class, chosen by a hash of
 doc_id; that is its only bound. Scoring reads every whole text, in its own task, without a
-shuffle. Kernel values under ``FLOOR`` are zero by definition, in fitting and in scoring, so
-words without enough of a landmark's letters are passed over quickly.
+shuffle. A unit without all letters of a landmark (all but one, if it has more than three) has
+the value zero by definition, in fitting and in scoring; no other value is set to zero.
 
 Learning uses rows with crc32(doc_id as text) mod 5 <> 0 only. Defined results: null and empty
 texts have no units and get the score of that; null doc_ids count as not held out; without
@@ -33,37 +35,39 @@ from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, prefix_sums, span_ha
 
 SAMPLE = 1000
 LANDMARKS = 64
-DECAY = 0.5
-ORDER = 3
+#: (bytes of a subsequence, decay) of the kernels that are added.
+KERNELS = ((3, 0.5), (4, 0.98))
 POWER = 4
-FLOOR = 0.5
+#: Clean texts that each landmark is put into as it is and with foreign bytes between its letters, in fitting.
+SPACED = 16
 #: Bytes of a unit; longer words and joined runs become overlapping units of this length.
 UNIT = 24
 _GRAMS = (4, 5, 6)
+#: The landmark when none is found; no text holds it.
+_NONE = b"\1\2\3\4"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def subsequence_kernel(landmark: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """K_3 of one landmark with many units (rows of bytes, zero-padded)."""
+def subsequence_kernel(landmark: np.ndarray, units: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """The kernel of one landmark with many units (rows of bytes, zero-padded)."""
     n, width = units.shape
-    before = np.ones((len(landmark) + 1, width + 1, 1)) * np.ones((1, 1, n))
-    columns = np.ascontiguousarray(units.T)
-    for _ in range(ORDER - 1):
+    same = np.ascontiguousarray(units.T)[None] == landmark[:, None, None]
+    before = np.ones((len(landmark) + 1, width + 1, n), dtype=np.float32)
+    for _ in range(order - 1):
         now = np.zeros_like(before)
-        for i, c in enumerate(landmark, 1):
-            run = np.zeros(n)
+        for i in range(1, len(landmark) + 1):
+            hits = same[i - 1] * before[i - 1, :-1] * np.float32(decay**2)
+            run = np.zeros(n, dtype=np.float32)
             for j in range(1, width + 1):
-                run = DECAY * run + DECAY**2 * ((columns[j - 1] == c) * before[i - 1, j - 1])
-                now[i, j] = DECAY * now[i - 1, j] + run
+                run *= np.float32(decay)
+                run += hits[j - 1]
+                now[i, j] = run
+            now[i] += np.float32(decay) * now[i - 1]
         before = now
-    total = np.zeros(n)
-    for i, c in enumerate(landmark, 1):
-        for j in range(1, width + 1):
-            total += DECAY**2 * ((columns[j - 1] == c) * before[i - 1, j - 1])
-    return total
+    return (same * before[:-1, :-1]).sum(axis=(0, 1), dtype=np.float64) * decay**2
 
 
 def _row(s: bytes) -> np.ndarray:
@@ -77,56 +81,67 @@ def _letters(units: np.ndarray) -> np.ndarray:
 
 
 class Kernels:
-    """Kernel values of units with all landmarks, relative to the landmarks' own; known units are kept."""
+    """Kernel values of units with all landmarks, relative to the landmarks' own; known units are kept.
+
+    One column for each kernel and landmark.
+    """
 
     KEPT = 500_000
+    KEPT_VALUES = 50_000
 
     def __init__(self, landmarks: list[bytes]) -> None:
         self.landmarks = [np.frombuffer(x, dtype=np.uint8) for x in landmarks]
-        self.own = np.array([subsequence_kernel(x, _row(s)[None, :])[0] for x, s in zip(self.landmarks, landmarks, strict=True)])
+        self.own = [np.array([subsequence_kernel(x, _row(s)[None, :], *kernel)[0] for x, s in zip(self.landmarks, landmarks, strict=True)]) for kernel in KERNELS]
         self.letters = _letters(np.stack([_row(s) for s in landmarks])) if landmarks else np.zeros(0, np.uint64)
+        self.width = len(landmarks) * len(KERNELS)
         self.dull, self.fresh = np.zeros(0, np.uint64), []
+        self.known, self.known_values = np.zeros(0, np.uint64), np.zeros((0, self.width), np.float32)
 
     def values(self, units: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(units), len(self.landmarks)), dtype=np.float32)
+        out = np.zeros((len(units), self.width), dtype=np.float32)
         have = _letters(units)
         length = (units > 0).sum(axis=1)
         for k, landmark in enumerate(self.landmarks):
             wanted = int(np.bitwise_count(self.letters[k]))
-            live = np.flatnonzero((np.bitwise_count(have & self.letters[k]) >= wanted - (wanted > 3)) & (length >= ORDER))
-            for at in range(0, len(live), 4096):
-                part = live[at : at + 4096]
+            live = np.flatnonzero((np.bitwise_count(have & self.letters[k]) >= wanted - (wanted > 3)) & (length >= KERNELS[0][0]))
+            live = live[np.argsort(length[live], kind="stable")]
+            for at in range(0, len(live), 1024):
+                part = live[at : at + 1024]
                 width = int(length[part].max())
-                v = subsequence_kernel(landmark, units[part, :width]) / self.own[k]
-                out[part, k] = np.where(v >= FLOOR, np.minimum(v, 1.0), 0)
+                for j, kernel in enumerate(KERNELS):
+                    v = subsequence_kernel(landmark, units[part, :width], *kernel) / self.own[j][k]
+                    out[part, j * len(self.landmarks) + k] = np.minimum(v, 1.0)
         return out
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """For each text and landmark the largest value over the text's units."""
-        out = np.zeros((len(texts), len(self.landmarks)), dtype=np.float32)
+        """For each text and column the largest value over the text's units."""
+        out = np.zeros((len(texts), self.width), dtype=np.float32)
         for first, part in chunks(texts):
             words = Words(part, NOT_SPACE)
             data, start, end, owner = _units(words)
             key, at, which = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
-            known = np.isin(key, self.dull, assume_unique=True)
-            new = np.flatnonzero(~known)
-            if not len(new):
-                continue
+            row_of = np.full(len(key), -1)
+            _, kept, here = np.intersect1d(self.known, key, assume_unique=True, return_indices=True)
+            row_of[here] = np.arange(len(here))
+            new = np.flatnonzero((row_of < 0) & ~np.isin(key, self.dull, assume_unique=True))
             v = self.values(_bytes_of(data, start[at[new]], end[at[new]]))
             some = v.any(axis=1)
-            self._remember(key[new[~some]])
-            row_of = np.full(len(key), -1)
-            row_of[new[some]] = np.flatnonzero(some)
+            row_of[new[some]] = len(here) + np.arange(some.sum())
+            v = np.concatenate([self.known_values[kept], v[some]])
+            self._remember(key[new[~some]], key[new[some]], v[len(here) :])
             row = row_of[which]
             own = np.flatnonzero(row >= 0)
             np.maximum.at(out, owner[own] + first, v[row[own]])
         return out
 
-    def _remember(self, keys: np.ndarray) -> None:
-        self.fresh.append(keys)
+    def _remember(self, dull: np.ndarray, live: np.ndarray, values: np.ndarray) -> None:
+        self.fresh.append(dull)
         if sum(map(len, self.fresh)) > self.KEPT // 8:
             self.dull = np.unique(np.concatenate([*self.fresh, self.dull if len(self.dull) < self.KEPT else self.dull[:0]]))
             self.fresh = []
+        if len(self.known) > self.KEPT_VALUES:
+            self.known, self.known_values = self.known[:0], self.known_values[:0]
+        self.known, self.known_values = np.concatenate([self.known, live]), np.concatenate([self.known_values, values])
 
 
 def _units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -270,8 +285,9 @@ class Model:
 
 
 def features(pooled: np.ndarray, roots: list[np.ndarray]) -> np.ndarray:
-    """Nystrom features of the sum of the kernel and its POWER-th power, which near copies alone reach."""
-    return np.concatenate([(pooled**p) @ r for p, r in zip((1, POWER), roots, strict=True)], axis=1)
+    """Nystrom features of the sum of the kernels and their POWER-th powers, which near copies alone reach."""
+    parts = [(block, p) for block in np.split(pooled, len(KERNELS), axis=1) for p in (1, POWER)]
+    return np.concatenate([(block**p) @ r for (block, p), r in zip(parts, roots, strict=True)], axis=1)
 
 
 def fit(toxic: list[str], clean: list[str], prior: float = 0.5) -> Model | None:
@@ -281,17 +297,18 @@ def fit(toxic: list[str], clean: list[str], prior: float = 0.5) -> Model | None:
     """
     if not toxic or not clean:
         return None
-    landmarks = choose_landmarks(toxic, clean) or [b"\1\2\3"]
+    landmarks = choose_landmarks(toxic, clean) or [_NONE]
     kernels = Kernels(landmarks)
     x = kernels.pooled([*toxic, *clean]).astype(np.float64)
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
     rows = np.stack([_row(s) for s in landmarks])
-    gram = np.stack([subsequence_kernel(k, rows) for k in kernels.landmarks])
-    scale = np.sqrt(np.diag(gram))
     roots = []
-    for power in (1, POWER):
-        value, vector = np.linalg.eigh((gram / scale[:, None] / scale[None, :]) ** power)
-        roots.append(vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T)
+    for kernel in KERNELS:
+        gram = np.stack([subsequence_kernel(k, rows, *kernel) for k in kernels.landmarks])
+        scale = np.sqrt(np.diag(gram))
+        for power in (1, POWER):
+            value, vector = np.linalg.eigh((gram / scale[:, None] / scale[None, :]) ** power)
+            roots.append(vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T)
     gapped = _gapped(kernels, landmarks, x[y < 0])
     x, y = np.concatenate([x, gapped]), np.concatenate([y, np.ones(len(gapped))])
     z = np.column_stack([features(x, roots), np.ones(len(y))])
@@ -326,8 +343,17 @@ def fit(toxic: list[str], clean: list[str], prior: float = 0.5) -> Model | None:
 
 
 def _gapped(kernels: Kernels, landmarks: list[bytes], clean: np.ndarray) -> np.ndarray:
-    """Clean training texts, each with one landmark that has a foreign byte inside: toxic examples."""
-    rows = [s[:i] + b"*" + s[i:] for s in landmarks if len(s) >= 5 and s != b"\1\2\3" for i in range(2, len(s) - 1)]
+    """Clean training texts, each with one landmark: toxic examples.
+
+    As it is, with one foreign byte at each place, and with one after every or every other letter.
+    """
+    rows = []
+    for s in landmarks:
+        if s == _NONE:
+            continue
+        if len(s) >= 5:
+            rows += [s[:i] + b"*" + s[i:] for i in range(2, len(s) - 1)]
+        rows += [s, *(b"*".join(s[i : i + n] for i in range(0, len(s), n)) for n in (1, 2))] * SPACED
     if not rows or not len(clean):
         return np.zeros((0, clean.shape[1]))
     v = kernels.values(np.stack([_row(r) for r in rows]))

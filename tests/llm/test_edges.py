@@ -79,6 +79,14 @@ def test_an_insult_is_found_anywhere_in_a_run_of_tiny_words(before, space, spark
         assert kernels.pooled(["calm", text, "remark"]).max(axis=1).round(6).tolist() == [0, 1, 0]
 
 
+@pytest.mark.parametrize("insult", ["zorgwit", "zo*rgwit", "z*or*gw*it", "zo.rg.wi.t", "z.o.r.g.w.i.t", "z*o*r*g*w*i*t", "z--o--r--g--w--i--t"])
+def test_foreign_bytes_between_letters_hide_no_insult(insult, spark):
+    model = _model(spark)
+    kernels = toxicity.Kernels(model.landmarks)
+    scores = model.scores(kernels.pooled([f"what a {insult} indeed", "a calm remark about organs", "a wizard ground it", "", None]))
+    assert (scores >= 0.5).tolist() == [True, False, False, False, False]
+
+
 def test_near_copies_link_and_common_passages_do_not(spark):
     words = [f"t{i}" for i in range(100)]
     near = [*words[:50], "changed", *words[51:]]
