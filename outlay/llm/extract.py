@@ -138,6 +138,11 @@ def node_features(nodes: list[Node]) -> np.ndarray:
     flags = [(False, False, False, False)] * n
     depth = [0] * n
     tag_at = {t: i for i, t in enumerate(TAGS)}
+    place, kin = [0] * n, [1] * n
+    for node in nodes:
+        seen = [c.index for c in node.children if isinstance(c, Node) and c.tag not in UNSEEN and c.tag not in VOID]
+        for i, k in enumerate(seen):
+            place[k], kin[k] = i, len(seen)
     for k, node in enumerate(nodes):
         good, bad = bool(node.attrs & GOOD), bool(node.attrs & BAD)
         above = flags[up[k]]
@@ -146,12 +151,10 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         flags[k] = (above[0] or good, above[1] or bad, above[2] or node.tag in _CHROME, above[3] or node.tag in ("article", "main"))
         if node.tag in tag_at:
             out[k, tag_at[node.tag]] = 1
-        kin = [c.index for c in (node.parent.children if k else [node]) if isinstance(c, Node) and c.tag not in UNSEEN and c.tag not in VOID]
-        place = kin.index(k) if len(kin) < 200 else 0
         kids = sum(isinstance(c, Node) for c in node.children)
         out[k, len(TAGS) :] = (
             good, bad, *above, depth[k], math.log1p(kids), math.log1p(text[k]), math.log1p(own[k]), links[k] / (text[k] + 1), marks[k] / (text[k] + 1),
-            text[k] / (tags[k] + 1), place / len(kin), math.log1p(len(kin)), math.log1p(text[up[k]] - text[k]) if k else 0, paragraphs[k] / (kids + 1),
+            text[k] / (tags[k] + 1), place[k] / kin[k], math.log1p(kin[k]), math.log1p(text[up[k]] - text[k]) if k else 0, paragraphs[k] / (kids + 1),
         )
     return out
 

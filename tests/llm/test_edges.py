@@ -121,6 +121,13 @@ def test_pages(spark):
     assert extract.extract(pages, trees).count() == 5 and extract.extract(pages.limit(0), trees).count() == 0
 
 
+def test_place_among_many_siblings():
+    nodes = extract.walk(extract.parse("<html><body><ul>" + "<li>x</li>" * 500 + "</ul></body></html>"))
+    at = [k for k, node in enumerate(nodes) if node.tag == "li"]
+    places = extract.node_features(nodes)[at, extract.FEATURES.index("place")]
+    assert places.round(4).tolist() == pytest.approx([round(i / 500, 4) for i in range(500)], abs=1e-4)
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [-1.0, 2.0])]
     v = spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", topk.integer_vector(F.col("e")).alias("v")).where("vec_id is not null and v is not null")
