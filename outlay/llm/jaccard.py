@@ -1,59 +1,69 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
-A document's set is its distinct 5-word shingles. Documents with one set are collapsed to
-one representative before anything else. An order sorts tokens by how common they are
-(rarest first, by a table of counters over all documents) and then by a hash of its own;
-if two sets have Jaccard >= t, their prefixes of |x| - ceil(t |x|) + 1 tokens share a token
-under every order. Candidates are the pairs found under all orders; each is verified on the
-texts, and the links give components.
-
-Postings travel as packed arrays by bucket of the token, so a shuffle row holds thousands.
-A token that counters show in at most ``HOT`` documents has a group of bounded size, and its
-pairs of fitting sizes are listed within its bucket. The others go another, exact way
-(``hot_links``): rounds of a few leaders a group, drawn from outside the group's largest
-component, until no group has members of two components left to compare.
+A document's set is its distinct 5-word shingles. The join goes from all texts to few:
+
+1. ``_survey``: shingles of all texts, dealt to buckets by hash, tell how many shingles of each
+   set stand in another set too. A set with less than the share of the threshold links
+   with nothing and goes no further. Shingles that a task meets in several sets are
+   settled there, so a common passage sends two postings a task, not one a document.
+2. ``_ordered_sets``: one text of each remaining set is read again, and the number of sets that
+   hold each shingle is counted exactly. Single shingles match nothing and are left out.
+3. Rounds (``_candidates``, ``_agreed``, ``_links``): an order sorts shingles rarest first and then
+   by hash, or single ones first and then by another hash. Sets with Jaccard >= t share a
+   token within their prefixes of |x| - ceil(t |x|) + 1 tokens under every order, and what stands
+   behind the shared token must suffice for the overlap. Candidates are the pairs found under
+   all orders; each is verified on the whole sets. The first rounds compare a group's members
+   with a few leaders only, which joins most near copies; the last compares all pairs whose
+   sets are still in different components.
+
+Pairs travel packed, to the cell of one side; the sets they name travel once a cell, and a cell
+returns a spanning forest of its links. A token of more than ``HOT`` sets is dealt to several
+groups; sets outside the largest component visit all of them.
 
 Results: every document gets n_shingles and component_id; copies are not expanded into
 pairs. Null or wordless text has an empty set, linked with nothing; under five words the
-whole sequence is one shingle; rows that share doc_id and text count as one document; an
-empty table gives no rows; extra columns are not read. Shingles are compared as 64-bit
-hashes, sets as 128-bit signatures.
+whole sequence is one shingle; rows that share doc_id and text count as one document, rows
+that share doc_id only are compared each; rows without a doc_id link nothing; an empty table
+gives no rows; extra columns are not read. Shingles are compared as 64-bit hashes, sets told apart by
+128-bit signatures.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, mix
 from outlay.llm.components import components
-from outlay.llm.workspace import materialise
+from outlay.llm.workspace import materialise, slots
 
 N = 5
 #: Similarity at which documents link, as a fraction of whole numbers.
 THRESHOLD = (75, 100)
 ORDERS = 2
-COUNTERS = 1 << 20
-SEGMENTS = 64
-#: Documents that a token of the packed way is in at most.
-HOT = 4096
-LEADERS = 64
-#: Postings that a bucket holds on average, and that a task packs before it sends them.
+#: Sets of one token's group at most; tokens of more sets are dealt to several groups.
+HOT = 1 << 14
+#: Rounds that compare members of a group with so many leaders, before the one for all pairs.
+LEADER_ROUNDS = 2
+LEADERS = 8
+#: Shingles that a bucket holds on average, and that a task packs before it sends them.
 BUCKET_POSTINGS = 1 << 19
-FLUSH_POSTINGS = 1 << 22
-MIN_BUCKETS = 64
+FLUSH_POSTINGS = 1 << 20
+#: Bytes of sets that a cell holds on average, and sets of one component that share a cell.
+CELL_BYTES = 4 << 20
+CELL_SETS = 1 << 10
 #: Bytes of ids up to which a side of a join is broadcast.
 BROADCAST_BYTES = 16 << 20
 
 _U = np.uint64
 _STEPS = [_U(0x9FB21C651E98DF25), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3)]
-_ORDER_SEEDS = [_U(0), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
+_SECOND = _U(0xC2B2AE3D27D4EB4F)
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -84,236 +94,455 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a).view(np.int64)), int(np.add.reduce(b).view(np.int64))
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, sig, sig2) of documents, (segment, counts) of tasks' counters."""
+def _need(n, threshold: tuple[int, int]):  # noqa: ANN001, ANN202
+    """Shingles that a set of n must share with any set it links with."""
+    return -(-threshold[0] * n // threshold[1])
 
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
-        for batch in batches:
-            n, sig, sig2 = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
-                np.add.at(counts, (s & _U(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-                a, b = signature(s)
-                n.append(len(s))
-                sig.append(a)
-                sig2.append(b)
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "sig", "sig2", "segment", "counts"])
-        if counts.any():
-            blobs = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SEGMENTS, -1)]
-            none = pa.nulls(SEGMENTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "sig", "sig2", "segment", "counts"])
-
-    return docs.mapInArrow(survey, "doc_id long, n long, sig long, sig2 long, segment int, counts binary")
-
-
-def _counters(surveyed: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters: COUNTERS numbers, whatever the input's size."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(COUNTERS // SEGMENTS, dtype=np.int64)
-        for blob in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
-        return pd.DataFrame([(int(pdf["segment"].iloc[0]), zlib.compress(total.tobytes(), 1))], columns=["segment", "counts"])
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Marks the first of each run of equal keys."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
-    out = np.zeros((SEGMENTS, COUNTERS // SEGMENTS), dtype=np.int64)
-    for r in surveyed.where("segment is not null").select("segment", "counts").groupBy("segment").applyInPandas(add, "segment int, counts binary").collect():
-        out[r["segment"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
-    return out.ravel()
 
+def _join(parts, kind) -> np.ndarray:  # noqa: ANN001
+    return np.concatenate([np.frombuffer(p, kind) for p in parts]) if len(parts) else np.zeros(0, kind)
 
-def commonness(counts: np.ndarray) -> np.ndarray:
-    """A class for each counter: 0 for what chance fills it with, then one for each doubling."""
-    beyond = np.maximum(0, counts - counts.mean() * 1.2)
-    return np.floor(np.log2(beyond + 1)).astype(np.uint8)
 
+def _few(df: DataFrame, n: int, bytes_each: int) -> DataFrame:
+    return F.broadcast(df) if n * bytes_each <= BROADCAST_BYTES else df
 
-def prefix(s: np.ndarray, classes: np.ndarray, order: int, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """The tokens of a set's prefix under one order."""
-    keep = len(s) + 1 - -(-threshold[0] * len(s) // threshold[1])
-    key = mix(s + _ORDER_SEEDS[order]) if order else s
-    own = classes[(s & _U(COUNTERS - 1)).astype(np.int64)]
-    return s[np.lexsort((key, own))[:keep]]
 
+# -- 1: which sets can link at all
 
-#: Above a set's size, a bit for each order under which its prefix has a token that may be hot.
-_FLAG_AT = 40
-_POSTINGS = "bucket int, tokens binary, many binary, sigs binary, sizes binary"
-#: Groups that the tokens that may be hot are dealt to, by the set they stand in.
-_ASIDE = 64
+_PACKED = "bucket int, ids binary, known binary, tokens binary, many binary, sigs binary, sigs2 binary"
+_SURVEYED = "doc_id long, n long, sig long, sig2 long, home int, sigs binary, shared binary"
 
 
-def _postings(docs: DataFrame, classes, hot, n_buckets: int, threshold: tuple[int, int]) -> DataFrame:  # noqa: ANN001
-    """Packed prefix postings. Within a bucket a token is 32 bits of its hash: a chance twin only adds a candidate.
+def _pack_all(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Packets of documents (a negative bucket) and of their sets' shingles by bucket.
 
-    Tokens that may be hot are set aside in negative buckets, for the first order alone.
+    Within a bucket a shingle is 32 bits of its hash: a chance twin only keeps a set in.
     """
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        klass, is_hot = classes.value, hot.value
-        seen: set[int] = set()
-        sigs, sizes, parts, held = [], [], [[] for _ in range(ORDERS)], 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sigs, sigs2, sizes, sets, seen, held, turn = [], [], [], [], [], {}, 0, TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
-            rows = []
-            s, z = np.array(sigs, dtype=np.int64), np.array(sizes, dtype=np.int64)
-            for order in range(ORDERS):
-                tokens = np.concatenate(parts[order])
-                owner = np.repeat(np.arange(len(parts[order])), [len(p) for p in parts[order]])
+            nonlocal turn
+            turn += 1
+            no = b""
+            known = np.array([i is not None for i in ids], dtype=np.uint8)
+            plain = np.array([i or 0 for i in ids], dtype=np.int64)
+            own = -1 - turn % n_buckets
+            rows = [(own, plain.tobytes(), known.tobytes(), np.array(sizes, np.int64).tobytes(), no, np.array(sigs, np.int64).tobytes(), np.array(sigs2, np.int64).tobytes())]
+            if sets:
+                sig = np.array([s for s, _ in seen], dtype=np.int64)
+                tokens = np.concatenate(sets)
+                owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
+                by = np.argsort(tokens, kind="stable")
+                tokens, owner = tokens[by], owner[by]
+                third = np.zeros(len(tokens), dtype=bool)
+                third[2:] = (tokens[2:] == tokens[1:-1]) & (tokens[1:-1] == tokens[:-2])
+                settled = np.bincount(owner[third], minlength=len(sets)).astype(np.uint32)
+                rows.append((own, no, no, no, settled.tobytes(), sig.tobytes(), no))
+                tokens, owner = tokens[~third], owner[~third]
                 spread = mix(tokens)
-                bucket = order * n_buckets + (spread % _U(n_buckets)).astype(np.int64)
-                aside = is_hot[(tokens & _U(COUNTERS - 1)).astype(np.int64)]
-                bucket[aside] = -1 - s[owner[aside]] % _ASIDE
-                short = (spread // _U(n_buckets)).astype(np.uint32)
-                by = np.argsort(bucket, kind="stable")
-                bounds = np.flatnonzero(np.diff(bucket[by], prepend=bucket[by[:1]] - 1))
+                bucket, short = (spread % _U(n_buckets)).astype(np.int64), (spread // _U(n_buckets)).astype(np.uint32)
+                by = np.lexsort((owner, bucket))
+                bounds = np.flatnonzero(_runs(bucket[by]))
                 for i, j in zip(bounds, [*bounds[1:], len(by)], strict=True):
-                    own = by[i:j]
-                    if order and bucket[own[0]] < 0:
-                        continue
-                    used, many = np.unique(owner[own], return_counts=True)
-                    rows.append((int(bucket[own[0]]), short[own].tobytes(), many.astype(np.uint32).tobytes(), s[used].tobytes(), z[used].tobytes()))
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "tokens", "many", "sigs", "sizes"])
+                    used, many = np.unique(owner[by[i:j]], return_counts=True)
+                    rows.append((int(bucket[by[i]]), no, no, short[by[i:j]].tobytes(), many.astype(np.uint32).tobytes(), sig[used].tobytes(), no))
+            kinds = [pa.int32()] + [pa.binary()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "ids", "known", "tokens", "many", "sigs", "sigs2"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(1).to_pylist()):
-                if not len(s):
-                    continue
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
                 sig = signature(s)
-                if sig in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(sig)
+                ids.append(doc)
                 sigs.append(sig[0])
-                flags = 0
-                for order in range(ORDERS):
-                    p = prefix(s, klass, order, threshold)
-                    flags |= int(is_hot[(p & _U(COUNTERS - 1)).astype(np.int64)].any()) << order
-                    parts[order].append(p)
-                    held += len(p)
-                sizes.append(len(s) | flags << _FLAG_AT)
-                if held >= FLUSH_POSTINGS:
+                sigs2.append(sig[1])
+                sizes.append(len(s))
+                if len(s) and sig not in seen:
+                    seen[sig] = True
+                    sets.append(s)
+                    held += len(s)
+                if held >= FLUSH_POSTINGS or len(ids) >= FLUSH_POSTINGS:
                     yield flush()
-                    sigs, sizes, parts, held = [], [], [[] for _ in range(ORDERS)], 0
-        if sigs:
+                    ids, sigs, sigs2, sizes, sets, seen, held = [], [], [], [], [], {}, 0
+        if ids:
             yield flush()
 
-    return docs.mapInArrow(post, _POSTINGS)
+    return docs.mapInArrow(pack, _PACKED)
+
+
+def _survey(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows of two kinds: (doc_id, n, sig, sig2) of documents, (home, sigs, shared) of counts."""
+
+    def homes(sigs: np.ndarray, shared: np.ndarray) -> pd.DataFrame:
+        home = (mix(sigs.view(np.uint64)) % _U(n_buckets)).astype(np.int64)
+        by = np.argsort(home, kind="stable")
+        bounds = np.flatnonzero(_runs(home[by])) if len(by) else []
+        rows = [(int(home[by[i]]), sigs[by[i:j]].tobytes(), shared[by[i:j]].astype(np.uint32).tobytes()) for i, j in zip(bounds, [*bounds[1:], len(by)], strict=False)]
+        return pd.DataFrame(rows, columns=["home", "sigs", "shared"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        if int(pdf["bucket"].iloc[0]) < 0:
+            of_docs = pdf[pdf["ids"].str.len() > 0]
+            known = _join(of_docs["known"], np.uint8).astype(bool)
+            ids = pd.array(_join(of_docs["ids"], np.int64), "Int64")
+            ids[~known] = pd.NA
+            out = pd.DataFrame({"doc_id": ids, "n": _join(of_docs["tokens"], np.int64), "sig": _join(of_docs["sigs"], np.int64), "sig2": _join(of_docs["sigs2"], np.int64)}).astype("Int64")
+            settled = pdf[pdf["ids"].str.len() == 0]
+            sigs, shared = _join(settled["sigs"], np.int64), _join(settled["many"], np.uint32)
+            out = pd.concat([out, homes(sigs[shared > 0], shared[shared > 0])])
+        else:
+            sig, owner = np.unique(_join(pdf["sigs"], np.int64), return_inverse=True)
+            posted = np.repeat(owner, _join(pdf["many"], np.uint32)).astype(np.uint64)
+            both = np.unique(_join(pdf["tokens"], np.uint32).astype(np.uint64) << _U(32) | posted)
+            same = (both[1:] >> _U(32)) == (both[:-1] >> _U(32))
+            shared = np.zeros(len(both), dtype=bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            counts = np.bincount((both[shared] & _U(0xFFFFFFFF)).astype(np.int64), minlength=len(sig))
+            out = homes(sig[counts > 0], counts[counts > 0])
+        for c in ("doc_id", "n", "sig", "sig2", "home"):
+            out[c] = (out[c] if c in out else pd.Series([pd.NA] * len(out), index=out.index)).astype("Int64")
+        for c in ("sigs", "shared"):
+            out[c] = out[c].astype(object).where(out[c].notna(), None) if c in out else None
+        return out[["doc_id", "n", "sig", "sig2", "home", "sigs", "shared"]]
+
+    return _pack_all(docs, n_buckets).groupBy("bucket").applyInPandas(count, _SURVEYED)
+
+
+def _hopeful(surveyed: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The representatives that share enough shingles with other sets, whichever they are.
+
+    Counts go by half a signature: sets that share that half by chance only keep each other in.
+    """
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, at = np.unique(_join(pdf["sigs"], np.int64), return_inverse=True)
+        return pd.DataFrame({"sig": sig, "shared": np.bincount(at, weights=_join(pdf["shared"], np.uint32)).astype(np.int64)})
 
-def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, sig) with sizes and flags, sorted by token and size."""
-    token, sig, size = [], [], []
-    for r in pdf.itertuples(index=False):
-        many = np.frombuffer(r.many, np.uint32)
-        token.append(np.frombuffer(r.tokens, np.uint32))
-        sig.append(np.repeat(np.frombuffer(r.sigs, np.int64), many))
-        size.append(np.repeat(np.frombuffer(r.sizes, np.int64), many))
-    token, sig, size = np.concatenate(token), np.concatenate(sig), np.concatenate(size)
-    flags, size = size >> _FLAG_AT, size & ((1 << _FLAG_AT) - 1)
-    by = np.lexsort((sig, size, token))
-    token, sig, size, flags = token[by], sig[by], size[by], flags[by]
-    new = np.ones(len(token), dtype=bool)
-    new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-    return token[new], sig[new], size[new], flags[new]
+    shares = surveyed.where("home is not null").select("home", "sigs", "shared").groupBy("home").applyInPandas(add, "sig long, shared long")
+    return reps.join(shares, "sig").where(F.col("shared") * threshold[1] >= F.col("n") * threshold[0]).select("sid", "sig", "sig2", "n")
 
 
-_FOUND = "x long, y long, orders int, token long, size long"
+# -- 2: the remaining sets, in the first order
 
+_SETS = "sid long, n int, tokens binary, sets binary"
 
-def _bucket_pairs(n_buckets: int, hot: int, threshold: tuple[int, int]):  # noqa: ANN202
-    """Pairs of one bucket whose sizes fit: (x, y, orders that they may share a token under).
 
-    Groups of more than `hot` members are passed on as postings (x, token, size, orders), and
-    so is what was set aside.
-    """
+def _sets_of(docs: DataFrame, hopeful: DataFrame, count: int) -> DataFrame:
+    """(sid, n, tokens) of the wanted sets; a text is known by its signature, not its doc_id alone."""
+    wanted = _few(hopeful.select(F.col("sid").alias("doc_id"), "sig", "sig2"), count, 24)
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "sig", "sig2")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["bucket"].iloc[0])
-        order = max(0, bucket // n_buckets)
-        token, sig, size, flags = _unpack(pdf)
-        first, end = np.searchsorted(token, token, side="left"), np.searchsorted(token, token, side="right")
-        large = (end - first > hot) | (bucket < 0)
-        named = token[large].astype(np.int64) + (max(-1, bucket) << 32)
-        passed = pd.DataFrame({"x": sig[large], "y": sig[large], "orders": np.int32(1 << order), "token": named, "size": size[large]}).astype({"token": "Int64", "size": "Int64"})
-        a, b, step = [], [], 1
-        live = np.flatnonzero((np.arange(len(token)) + 1 < end) & ~large)
-        while len(live):
-            live = live[size[live] * threshold[1] >= size[live + step] * threshold[0]]  # sizes ascend: no later one fits either
-            a.append(live)
-            b.append(live + step)
-            step += 1
-            live = live[live + step < end[live]]
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        x, y = np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])
-        by = np.lexsort((y, x))
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = (np.diff(x[by]) != 0) | (np.diff(y[by]) != 0)
-        own = by[new]
-        orders = (flags[a[own]] & flags[b[own]] | 1 << order).astype(np.int32)
-        out = pd.DataFrame({"x": x[own], "y": y[own], "orders": orders, "token": pd.array([None] * len(own), "Int64"), "size": pd.array([None] * len(own), "Int64")})
-        return pd.concat([out, passed]) if len(passed) else out
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, s, a, b in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if signature(s) == (a, b):
+                    rows.append((doc, len(s), s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["sid", "n", "tokens"])
 
-    return pairs
+    return texts.mapInArrow(build, "sid long, n int, tokens binary").dropDuplicates(["sid"])
 
 
-def _few(df: DataFrame, n: int, bytes_each: int) -> DataFrame:
-    return F.broadcast(df) if n * bytes_each <= BROADCAST_BYTES else df
+def _flushes(sets: DataFrame) -> DataFrame:
+    """Sets packed by some thousands, so that a shingle is counted once a pack."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, turn = [], 0, 0
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """pairs(x, y) of signatures -> those of them that link, as (u, v) of representatives' ids.
+        def flush() -> pa.RecordBatch:
+            name = (TaskContext.get().partitionId() << 32) + turn
+            blobs = [np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), b"".join(r[2] for r in rows)]
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["flush", "sids", "ns", "tokens"])
 
-    The text of x travels to y's, one shuffle each; only texts that a pair names take part.
-    """
-    named = materialise(
-        pairs.join(reps.select(F.col("sig").alias("x"), F.col("sid").alias("u")), "x").join(reps.select(F.col("sig").alias("y"), F.col("sid").alias("v")), "y").select("u", "v")
-    )
-    ids = named.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.join(_few(ids, ids.count(), 8), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    left = named.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, keep = batch.column(0), batch.column(1), []
-            last, held = None, None
-            for i in range(batch.num_rows):
-                if v[i].as_py() != last:
-                    last, held = v[i].as_py(), next(shingle_sets([batch.column(3)[i].as_py()]))
-                x = next(shingle_sets([batch.column(2)[i].as_py()]))
-                common = len(np.intersect1d(x, held, assume_unique=True))
-                if threshold[1] * common >= threshold[0] * (len(x) + len(held) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([u.take(pa.array(keep, pa.int64())), v.take(pa.array(keep, pa.int64()))], names=["u", "v"])
-
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
-
-
-def hot_links(postings: DataFrame, docs: DataFrame, reps: DataFrame, links: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links between members of the groups of hot tokens, beyond `links`, that join components.
-
-    Of a pair in two components at least one is outside the group's largest component. So each
-    round takes up to LEADERS such members a group, compares each with all members of
-    other components, and retires it; groups whose members are all of one component are done.
+            for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows.append(r)
+                held += r[1]
+                if held >= FLUSH_POSTINGS:
+                    yield flush()
+                    rows, held, turn = [], 0, turn + 1
+        if rows:
+            yield flush()
+
+    return sets.mapInArrow(pack, "flush long, sids binary, ns binary, tokens binary")
+
+
+def _by_bucket(tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A pack's distinct tokens and their counts, dealt to buckets: (order, bucket, counts)."""
+    distinct, counts = np.unique(tokens, return_counts=True)
+    bucket = (mix(distinct) % _U(n_buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return distinct[by], bucket[by], counts[by]
+
+
+def _ordered_sets(flushes: DataFrame, n_buckets: int, threshold: tuple[int, int]) -> DataFrame:
+    """(sid, n, tokens, sets): a set's shingles that other sets hold too, rarest first, and in how many sets each is."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flush, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                distinct, bucket, counts = _by_bucket(np.frombuffer(blob, np.uint64), n_buckets)
+                bounds = np.flatnonzero(_runs(bucket))
+                rows = [(int(bucket[i]), flush, distinct[i:j].tobytes(), counts[i:j].astype(np.uint32).tobytes()) for i, j in zip(bounds, [*bounds[1:], len(bucket)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "flush", "tokens", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        distinct, at = np.unique(_join(pdf["tokens"], np.uint64), return_inverse=True)
+        total = np.bincount(at, weights=_join(pdf["counts"], np.uint32), minlength=len(distinct))[at].astype(np.uint32)
+        ends = np.cumsum(pdf["counts"].str.len().to_numpy() // 4)
+        return pd.DataFrame({"flush": pdf["flush"], "bucket": pdf["bucket"], "totals": [t.tobytes() for t in np.split(total, ends[:-1])]})
+
+    def order(key, packs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        rows = []
+        for pack in packs.itertuples(index=False):
+            tokens, sizes = np.frombuffer(pack.tokens, np.uint64), np.frombuffer(pack.ns, np.int64)
+            distinct, _, _ = _by_bucket(tokens, n_buckets)
+            held = _join(totals.sort_values("bucket")["totals"], np.uint32)
+            by = np.argsort(distinct)
+            sets = held[by[np.searchsorted(distinct, tokens, sorter=by)]]
+            end = np.cumsum(sizes)
+            for sid, n, j in zip(np.frombuffer(pack.sids, np.int64), sizes, end, strict=True):
+                t, c = tokens[j - n : j], sets[j - n : j]
+                t, c = t[c > 1], c[c > 1]
+                if len(t) >= _need(int(n), threshold):
+                    by_c = np.lexsort((t, c))
+                    rows.append((int(sid), int(n), t[by_c].tobytes(), c[by_c].tobytes()))
+        return pd.DataFrame(rows, columns=["sid", "n", "tokens", "sets"])
+
+    totals = flushes.select("flush", "tokens").mapInArrow(send, "bucket int, flush long, tokens binary, counts binary").groupBy("bucket").applyInPandas(add, "flush long, bucket int, totals binary")
+    return flushes.groupBy("flush").cogroup(totals.groupBy("flush")).applyInPandas(order, _SETS)
+
+
+# -- 3: candidates, their agreement, links
+
+_POSTED = "bucket int, tokens binary, rest binary, many binary, sids binary, ns binary, comps binary, members binary"
+
+
+def _postings(live: DataFrame, n_buckets: int, top: int | None, leaders: int | None, turn: int, hot: int, threshold: tuple[int, int]) -> DataFrame:
+    """Packed prefix postings of live(sid, n, tokens, sets, comp, members) under all orders.
+
+    rest: tokens of the set from this one on, in the order. A token of more than `hot` sets is
+    dealt to several groups by sid; sets outside the largest component `top`, or in a round of
+    leaders a few sets drawn by hash, visit all of them.
     """
-    active = materialise(postings)
-    while not active.isEmpty():
-        comp = components(links).select(F.col("u").alias("sid"), "component")
-        of = reps.select("sig", "sid").join(comp, "sid", "left").select("sig", F.coalesce("component", "sid").alias("component"))
-        active = active.join(of, "sig")
-        per = active.groupBy("token", "component").count()
-        largest = per.groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("top.component").alias("largest"))
-        open_ = materialise(active.join(largest, "token").withColumn("salt", F.pmod("sig", F.lit(LEADERS))))
-        leaders = open_.where("component != largest").groupBy("token", "salt").agg(F.min(F.struct("sig", "size", "component")).alias("l")).select("token", "l.*")
-        leaders = materialise(leaders)
-        met = open_.join(leaders.select("token", F.col("sig").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_component")), "token")
-        fits = (F.least("size", "x_size") * threshold[1] >= F.greatest("size", "x_size") * threshold[0]) & (F.col("component") != F.col("x_component"))
-        pairs = met.where(fits).select(F.least("x", "sig").alias("x"), F.greatest("x", "sig").alias("y")).distinct()
-        links = materialise(links.unionByName(verify(pairs, docs, reps, threshold)).distinct())
-        active = materialise(open_.join(leaders.select("token", "sig"), ["token", "sig"], "left_anti").select("token", "sig", "size"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, parts, held = [], [[] for _ in range(ORDERS)], 0
+
+        def flush() -> pa.RecordBatch:
+            table = np.array(docs, dtype=np.int64)
+            rows = []
+            for order in range(ORDERS):
+                tokens = np.concatenate([p[0] for p in parts[order]])
+                rest = np.concatenate([p[1] for p in parts[order]])
+                owner = np.repeat(np.arange(len(parts[order])), [len(p[0]) for p in parts[order]])
+                spread = mix(tokens)
+                bucket, short = order * n_buckets + (spread % _U(n_buckets)).astype(np.int64), (spread // _U(n_buckets)).astype(np.uint32)
+                by = np.lexsort((owner, bucket))
+                bounds = np.flatnonzero(_runs(bucket[by]))
+                for i, j in zip(bounds, [*bounds[1:], len(by)], strict=True):
+                    own = by[i:j]
+                    used, many = np.unique(owner[own], return_counts=True)
+                    sids, ns, comps, members = table[used].T
+                    rows.append((int(bucket[own[0]]), short[own].tobytes(), rest[own].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), sids.tobytes(), ns.tobytes(), comps.tobytes(), members.tobytes()))
+            kinds = [pa.int32()] + [pa.binary()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "tokens", "rest", "many", "sids", "ns", "comps", "members"])
+
+        for batch in batches:
+            for sid, n, blob, counts, comp, members in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                t, c = np.frombuffer(blob, np.uint64), np.frombuffer(counts, np.uint32)
+                k = len(t) - _need(n, threshold) + 1
+                docs.append((sid, n, comp, members))
+                for order in range(ORDERS):
+                    own = np.argsort(mix(t + _SECOND))[:k] if order else np.arange(k)
+                    p, rest = t[own], len(t) - np.arange(k)
+                    groups = -(-c[own].astype(np.int64) // hot)
+                    if groups.max() > 1:
+                        draw = _rank(np.array([sid]), turn)[0]
+                        visits = comp != top if leaders is None else draw < _U(2**64 - 1) // c[own].astype(np.uint64) * _U(leaders)
+                        home = (mix(np.array([sid]).view(np.uint64))[0] % groups.astype(np.uint64)).astype(np.int64)
+                        many = np.where((groups > 1) & visits, groups, 1)
+                        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        at = np.where(np.repeat(many, many) > 1, at, np.repeat(home, many))
+                        p, rest = np.repeat(p, many), np.repeat(rest, many)
+                        p = np.where(at > 0, mix(p + at.astype(np.uint64)), p)
+                    parts[order].append((p, rest))
+                    held += len(p)
+                if held >= FLUSH_POSTINGS:
+                    yield flush()
+                    docs, parts, held = [], [[] for _ in range(ORDERS)], 0
+        if docs:
+            yield flush()
+
+    return live.select("sid", "n", "tokens", "sets", "comp", "members").mapInArrow(post, _POSTED)
+
+
+def _rank(sids: np.ndarray, turn: int) -> np.ndarray:
+    """Who leads: the same order in all groups, another one each round."""
+    return mix(sids.view(np.uint64) + _U((turn + 1) * int(_SECOND) % (1 << 64)))
+
+
+def _cells(comps: np.ndarray, sids: np.ndarray, members: np.ndarray, cells: int) -> np.ndarray:
+    part = mix(sids.view(np.uint64)) % (-(-members // CELL_SETS)).astype(np.uint64)
+    return (mix(comps.view(np.uint64) + part * _SECOND) % _U(cells)).astype(np.int64)
+
+
+def _candidates(posted: DataFrame, n_buckets: int, cells: int, leaders: int | None, turn: int, threshold: tuple[int, int]) -> DataFrame:
+    """Packed pairs (x, y) that one order allows, by the cell of y, the one in the larger component."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = int(pdf["bucket"].iloc[0]) // n_buckets
+        many = _join(pdf["many"], np.uint32)
+        token, rest = _join(pdf["tokens"], np.uint32), _join(pdf["rest"], np.uint32)
+        sid, n, comp, members = (_join(pdf[c], np.int64) for c in ("sids", "ns", "comps", "members"))
+        doc = np.repeat(np.arange(len(sid)), many)
+        need = threshold[0] / (threshold[0] + threshold[1])
+        _, group = np.unique(token, return_inverse=True)
+        by = np.lexsort((comp[doc], group))
+        group, doc, rest = group[by], doc[by], rest[by]
+        first = np.flatnonzero(_runs(group, comp[doc]))
+        size = np.diff(np.append(first, len(group)))
+        of = group[first]
+        largest = np.zeros(of[-1] + 1, dtype=np.int64)
+        np.maximum.at(largest, of, size)
+        best = np.full(of[-1] + 1, len(of), dtype=np.int64)
+        hit = np.flatnonzero(size == largest[of])
+        np.minimum.at(best, of[hit], hit)
+        several = np.bincount(of, minlength=len(best)) > 1
+        within = np.zeros(len(first), dtype=bool)
+        within[best] = True
+        within, live = np.repeat(within, size), np.repeat(several[of], size)
+        group, doc, rest, within = group[live], doc[live], rest[live], within[live]
+        late = within if leaders is None else np.zeros(len(within), dtype=bool)
+        by = np.lexsort((_rank(sid, turn)[doc], late, group))
+        group, doc, rest, late = group[by], doc[by], rest[by], late[by]
+        begin = np.flatnonzero(_runs(group)) if len(group) else np.zeros(0, np.int64)
+        length = np.diff(np.append(begin, len(group)))
+        end, place = np.repeat(begin + length, length), np.arange(len(group)) - np.repeat(begin, length)
+        live = np.flatnonzero(~late if leaders is None else place < leaders)
+        xs, ys, step = [], [], 1
+
+        def distinct() -> tuple[np.ndarray, np.ndarray]:
+            x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
+            key = np.unique(np.minimum(x, y) * len(sid) + np.maximum(x, y)) if len(x) else x
+            return key // max(1, len(sid)), key % max(1, len(sid))
+
+        held = 0
+        while len(live := live[live + step < end[live]]):
+            x, y = doc[live], doc[live + step]
+            a, b = n[x], n[y]
+            ok = (comp[x] != comp[y]) & (np.minimum(a, b) * threshold[1] >= np.maximum(a, b) * threshold[0])
+            ok &= np.minimum(rest[live], rest[live + step]) >= need * (a + b) - 1e-6
+            xs.append(x[ok])
+            ys.append(y[ok])
+            held += int(ok.sum())
+            step += 1
+            if held > BUCKET_POSTINGS:
+                x, y = distinct()
+                xs, ys, held = [x], [y], 0
+        x, y = distinct()
+        larger = (members[x] > members[y]) | ((members[x] == members[y]) & (_rank(comp[x], turn) > _rank(comp[y], turn)))
+        x, y = np.where(larger, y, x), np.where(larger, x, y)
+        cell = _cells(comp[y], sid[y], members[y], cells)
+        by = np.argsort(cell, kind="stable")
+        bounds = np.flatnonzero(_runs(cell[by])) if len(by) else []
+        rows = [(int(cell[by[i]]), order, sid[x[by[i:j]]].tobytes(), sid[y[by[i:j]]].tobytes()) for i, j in zip(bounds, [*bounds[1:], len(by)], strict=False)]
+        return pd.DataFrame(rows, columns=["cell", "order", "xs", "ys"])
+
+    return posted.groupBy("bucket").applyInPandas(find, "cell int, order int, xs binary, ys binary")
+
+
+def _agreed(found: DataFrame) -> DataFrame:
+    """The pairs of a cell that all orders name, packed, and a row for each set they need: (cell, sid)."""
+
+    def agree(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _join(pdf["xs"], np.int64), _join(pdf["ys"], np.int64)
+        order = np.repeat(pdf["order"].to_numpy(), pdf["xs"].str.len().to_numpy() // 8)
+        by = np.lexsort((y, x))
+        x, y, order = x[by], y[by], order[by]
+        first = np.flatnonzero(_runs(x, y))
+        all_ = np.bitwise_or.reduceat(1 << order, first) == (1 << ORDERS) - 1
+        x, y = x[first[all_]], y[first[all_]]
+        named = np.unique(np.concatenate([x, y])).tolist()
+        packed = [(None, x.tobytes(), y.tobytes())] if len(x) else []
+        out = pd.DataFrame([*((s, None, None) for s in named), *packed], columns=["sid", "xs", "ys"], dtype=object)
+        out["sid"] = pd.array([*named, *([pd.NA] * len(packed))], "Int64")
+        return out.assign(cell=int(pdf["cell"].iloc[0]))[["cell", "sid", "xs", "ys"]]
+
+    return found.groupBy("cell").applyInPandas(agree, "cell int, sid long, xs binary, ys binary")
+
+
+def _links(agreed: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Verifies each cell's pairs on whole sets: (u, v), a spanning forest of the cell's links."""
+
+    def verify(key, held: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        own = {r.sid: (r.n, np.sort(np.frombuffer(r.tokens, np.uint64))) for r in held.itertuples(index=False)}
+        parent = {s: s for s in own}
+
+        def root(s: int) -> int:
+            while parent[s] != s:
+                parent[s] = parent[parent[s]]
+                s = parent[s]
+            return s
+
+        out = []
+        for x, y in zip(_join(pairs["xs"], np.int64).tolist(), _join(pairs["ys"], np.int64).tolist(), strict=True):
+            a, b = root(x), root(y)
+            if a == b:
+                continue
+            (n, s), (m, t) = own[x], own[y]
+            if len(s) > len(t):
+                s, t = t, s
+            at = np.searchsorted(t, s)
+            common = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+            if threshold[1] * common >= threshold[0] * (n + m - common):
+                parent[a] = b
+                out.append((x, y))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    held = agreed.where("sid is not null").select("cell", "sid").join(sets.select("sid", "n", "tokens"), "sid")
+    pairs = agreed.where("sid is null").select(F.col("cell").alias("own_cell"), "xs", "ys")
+    return held.groupBy("cell").cogroup(pairs.groupBy("own_cell")).applyInPandas(verify, "u long, v long")
+
+
+def _component_of(sets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """sid -> comp, members (sets in it), for every set."""
+    own = sets.select("sid")
+    if links is None:
+        return own.withColumn("comp", F.col("sid")).withColumn("members", F.lit(1).cast("long"))
+    linked = components(links).select(F.col("u").alias("sid"), F.col("component").alias("comp"))
+    sizes = linked.groupBy("comp").agg(F.count("*").alias("members"))
+    return own.join(linked.join(sizes, "comp"), "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+
+
+def set_links(sets: DataFrame, threshold: tuple[int, int], hot: int = HOT) -> DataFrame | None:
+    """Links among ordered sets that join all that must be joined; None where there is no set."""
+    held = sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0)), F.count("*")).first()
+    if not held[1]:
+        return None
+    spark = sets.sparkSession
+    n_buckets = max(slots(spark), int(held[0] // 8 // 4 // BUCKET_POSTINGS) + 1)
+    cells = max(slots(spark), int(held[0] // CELL_BYTES) + 1)
+    links = None
+    for turn, leaders in enumerate([LEADERS] * LEADER_ROUNDS + [None]):
+        comps = materialise(_component_of(sets, links))
+        top = comps.orderBy(F.desc("members"), "comp").first()
+        live = sets.join(comps, "sid")
+        posted = _postings(live, n_buckets, top["comp"], leaders, turn, hot, threshold)
+        agreed = materialise(_agreed(_candidates(posted, n_buckets, cells, leaders, turn, threshold)))
+        new = _links(agreed, sets, threshold)
+        links = materialise(new if links is None else links.unionByName(new))
     return links
 
 
@@ -321,30 +550,31 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    surveyed = materialise(_survey(docs))
-    rows = surveyed.where("segment is null").select("doc_id", "n", "sig", "sig2")
-    reps = materialise(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("sid")).where("sid is not null"))
-    counts = _counters(surveyed)
-    n_buckets = max(MIN_BUCKETS, int(counts.sum() // BUCKET_POSTINGS))
-    klass, is_hot = spark.sparkContext.broadcast(commonness(counts)), spark.sparkContext.broadcast(counts > hot + 2 * counts.mean())
-    packed = _postings(docs, klass, is_hot, n_buckets, threshold)
-    found = materialise(packed.groupBy("bucket").applyInPandas(_bucket_pairs(n_buckets, hot, threshold), _FOUND))
-    large = found.where("token is not null")
-    warm = large.where("orders = 1").select("token", F.col("x").alias("sig"), "size").distinct()
-    per_pair = found.where("token is null").groupBy("x", "y").agg(F.bit_or("orders").alias("orders"))
-    # large groups passed on under a later order say nothing about pairs: then any one order's word is enough
-    agreed = per_pair if not large.where("orders > 1").isEmpty() else per_pair.where(F.col("orders") == (1 << ORDERS) - 1)
-    links = materialise(verify(agreed.select("x", "y"), docs, reps, threshold))
-    links = hot_links(warm, docs, reps, links, threshold)
-    linked = components(links)
-    named = rows.join(reps.select("sig", "sig2", "n", "sid"), ["sig", "sig2", "n"], "left").join(linked.select(F.col("u").alias("sid"), "component"), "sid", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sid", "doc_id").alias("component_id"))
+    words = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
+    n_buckets = max(slots(spark), int(words // BUCKET_POSTINGS) + 1)
+    surveyed = materialise(_survey(docs, n_buckets))
+    rows = surveyed.where("n is not null").select("doc_id", "n", "sig", "sig2")
+    reps = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("sid")))
+    hopeful = materialise(_hopeful(surveyed, reps, threshold))
+    flushes = materialise(_flushes(_sets_of(docs, hopeful, hopeful.count())))
+    sets = materialise(_ordered_sets(flushes, n_buckets, threshold))
+    links = set_links(sets, threshold, hot)
+    if links is None:
+        of = reps.withColumn("component", F.col("sid"))
+    else:
+        linked = components(links).select(F.col("u").alias("sid"), "component")
+        of = reps.join(linked, "sid", "left").select("sig", "sig2", "n", F.coalesce("component", "sid").alias("component"))
+    return rows.join(of.select("sig", "sig2", "n", "component"), ["sig", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The document with the smallest id of each component; all its columns."""
-    kept = jaccard_components(docs, threshold).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The document with the smallest id of each component; all its columns.
+
+    Rows without a doc_id stay; a doc_id that is repeated with several texts stays if one of them stays.
+    """
+    found = jaccard_components(docs, threshold).where("doc_id is not null")
+    gone = materialise(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone")))
+    return docs.join(_few(gone, gone.count(), 8), F.col("_gone") == docs["doc_id"], "left_anti")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
