@@ -16,12 +16,15 @@ one child of the node. A maximal repeat covers all its occurrences.
 Equal texts count as one during the search; a text with copies is removed whole if it has a
 window. An anchor string in more than ``SPLIT`` places is split: its surroundings are dealt
 by five longer strings around it, of which any two equal windows share one. Surroundings that are
-equal travel and are compared once a task and bucket.
+equal travel and are compared once a task and bucket. The tree over two suffixes is one interval,
+so those are settled for all anchors of two surroundings at once.
+
+Texts travel once, to their hash: the search and the cut read the same exchange.
 
 Defined results: null text is empty: nothing removed, hash of no bytes; texts under 200 bytes stay
 whole; windows never cross texts; repeated rows each get the result of their text, which
-counts as copied; an empty table gives no rows; extra columns are not read. Texts are told apart by
-64-bit hashes.
+counts as copied; an empty table gives no rows; extra columns are not read, whatever their names.
+Texts are dealt by 64-bit hashes and told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -115,18 +118,21 @@ def _places(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "hash long, sig long, pos long")
 
 
-_SENT = "bucket int, hashes binary, before binary, behind binary, contexts binary, member binary, sigs binary, pos binary"
+_SENT = "bucket int, hashes binary, before binary, behind binary, contexts binary, member binary, sigs binary, sigs2 binary, pos binary"
 
 
 def _surroundings(joined: DataFrame, n_buckets: int, split: int) -> DataFrame:
-    """joined(sig, text, at array<struct<pos, n>>) -> packed surroundings by bucket of the anchor's key."""
+    """joined(_sig, _sig2, text, doc_id or row, at array<struct<pos, n>>) -> packed surroundings by bucket of the anchor's key.
+
+    Rows come sorted by _sig: a copy of the text before is passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
 
         def flush() -> pa.RecordBatch:
-            key, ctx, before, behind, sig, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, ctx, before, behind, sig, sig2, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = (mix(key) % _U(n_buckets)).astype(np.int64)
             out = []
             by = np.argsort(bucket, kind="stable")
@@ -135,24 +141,34 @@ def _surroundings(joined: DataFrame, n_buckets: int, split: int) -> DataFrame:
                 own = by[i:j]
                 which, member = _distinct(key[own], before[own], behind[own], ctx[own])
                 some = own[which]
-                out.append((int(bucket[own[0]]), key[some].tobytes(), before[some].tobytes(), behind[some].tobytes(), ctx[some].tobytes(), member.astype(np.int32).tobytes(), sig[own].tobytes(), pos[own].tobytes()))
-            kinds = [pa.int32()] + [pa.binary()] * 7
+                out.append((int(bucket[own[0]]), key[some].tobytes(), before[some].tobytes(), behind[some].tobytes(), ctx[some].tobytes(), member.astype(np.int32).tobytes(), sig[own].tobytes(), sig2[own].tobytes(), pos[own].astype(np.int32).tobytes()))
+            kinds = [pa.int32()] + [pa.binary()] * 8
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
 
+        last = None
         for batch in batches:
-            sigs = np.asarray(batch.column(0))
-            places = batch.column(2)
+            sigs, sigs2 = np.asarray(batch.column("_sig")), np.asarray(batch.column("_sig2"))
+            new = []
+            for i, s in enumerate(zip(sigs.tolist(), sigs2.tolist(), strict=True)):
+                if s != last:
+                    new.append(i)
+                last = s
+            batch = batch.take(pa.array(new, pa.int64()))
+            sigs, sigs2 = sigs[new], sigs2[new]
+            places = batch.column("at")
             counts = np.diff(np.asarray(places.offsets))
             flat = places.flatten()
             at_all, n_all = np.asarray(flat.field("pos")), np.asarray(flat.field("n"))
             begins = np.concatenate([[0], np.cumsum(counts)])
-            for first, data, bounds in _packs(batch.column(1).to_pylist()):
+            for first, data, bounds in _packs(batch.column("text").to_pylist()):
                 k = len(bounds) - 1
                 lo, hi = begins[first], begins[first + k]
                 if lo == hi:
                     continue
                 own = np.repeat(np.arange(k), counts[first : first + k])
                 pos, n = at_all[lo:hi], n_all[lo:hi]
+                there = pos + ANCHOR <= np.diff(bounds)[own]  # a text that shares half a signature may be shorter
+                own, pos, n = own[there], pos[there], n[there]
                 at = pos + bounds[own]
                 before = np.minimum(BEFORE, pos).astype(np.int16)
                 behind = np.minimum(WINDOW, bounds[own + 1] - at).astype(np.int16)
@@ -168,7 +184,7 @@ def _surroundings(joined: DataFrame, n_buckets: int, split: int) -> DataFrame:
                         parts.append((fits, mix(span_hashes(sums, at - np.where(fits, x, 0), at + np.where(fits, y, 0)) + _U(y))))
                 for mask, key in parts:
                     if mask.any():
-                        held.append((key[mask], ctx[mask], before[mask], behind[mask], sigs[own[mask] + first], pos[mask]))
+                        held.append((key[mask], ctx[mask], before[mask], behind[mask], sigs[own[mask] + first], sigs2[own[mask] + first], pos[mask]))
                         rows += int(mask.sum())
                 if rows >= FLUSH_ROWS:
                     yield flush()
@@ -230,18 +246,18 @@ def maximal_repeats(left: np.ndarray, right: np.ndarray, before: np.ndarray, beh
 
 
 def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the stretch of its text that each anchor's repeats cover: (sig, first, last + 1)."""
+    """One bucket: the stretch of its text that each anchor's repeats cover: (sig, sig2, first, last + 1)."""
     get = lambda c, t: [np.frombuffer(x, t) for x in pdf[c]]
     keys, contexts = get("hashes", np.uint64), get("contexts", np.uint8)
     shift = np.cumsum([0] + [len(k) for k in keys[:-1]])
     row = np.concatenate([m + s for m, s in zip(get("member", np.int32), shift, strict=True)])
-    sig, pos = np.concatenate(get("sigs", np.int64)), np.concatenate(get("pos", np.int64))
+    sig, sig2, pos = np.concatenate(get("sigs", np.int64)), np.concatenate(get("sigs2", np.int64)), np.concatenate(get("pos", np.int32))
     key, before, behind = np.concatenate(keys), np.concatenate(get("before", np.int16)), np.concatenate(get("behind", np.int16))
     ctx = np.concatenate(contexts).reshape(len(key), BEFORE + WINDOW)
     which, merged = _distinct(key, before, behind, ctx)
     row = merged[row]
     key, ctx, before, behind = key[which], ctx[which], before[which].astype(np.int64), behind[which].astype(np.int64)
-    places = pd.DataFrame({"row": row, "sig": sig, "pos": pos}).drop_duplicates()
+    places = pd.DataFrame({"row": row, "sig": sig, "sig2": sig2, "pos": pos}).drop_duplicates()
     reach_left, reach_right = np.full(len(key), -1), np.full(len(key), -1)
     twice = (np.bincount(places["row"], minlength=len(key)) > 1) & (before + behind >= WINDOW)
     reach_left[twice], reach_right[twice] = before[twice], behind[twice]
@@ -262,20 +278,27 @@ def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
             reach_left[rows], reach_right[rows] = np.maximum(reach_left[rows], l), np.maximum(reach_right[rows], r)
     hit = places[reach_left[places["row"]] >= 0]
     at = hit["row"].to_numpy()
-    return pd.DataFrame({"sig": hit["sig"], "first": hit["pos"] - reach_left[at], "last": hit["pos"] + reach_right[at]})
+    return pd.DataFrame({"sig": hit["sig"], "sig2": hit["sig2"], "first": hit["pos"] - reach_left[at], "last": hit["pos"] + reach_right[at]})
+
 
+def _dealt(docs: DataFrame, split: int) -> DataFrame:
+    """docs(text, ...) without nulls in text -> the same rows with _sig, _sig2 and _found: array<struct<sig2, first, last>>.
 
-def repeated_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """docs(sig, text) -> (sig, spans array<struct<first, last>>): stretches that repeat, unmerged."""
-    places = _places(docs)
-    common = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.xxhash64("sig", "pos")).alias("a"), F.max(F.xxhash64("sig", "pos")).alias("b")).where("n > 1 and a != b").select("hash", "n")
+    Stretches that repeat, unmerged; of a text with copies the whole (first = -1). Entries are for the rows with their sig2.
+    """
+    docs = docs.withColumn("_sig", F.xxhash64("text", F.octet_length("text"))).withColumn("_sig2", F.xxhash64(F.lit(WINDOW), F.octet_length("text"), "text"))
+    long_ = docs.where(F.octet_length("text") >= WINDOW)
+    copied = long_.groupBy(F.col("_sig").alias("sig"), F.col("_sig2").alias("sig2")).agg(F.count("*").alias("n")).where("n > 1").select("sig", "sig2", F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
+    places = _places(long_.select(F.col("_sig").alias("sig"), "text"))
+    common = materialise(places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.xxhash64("sig", "pos")).alias("a"), F.max(F.xxhash64("sig", "pos")).alias("b")).where("n > 1 and a != b").select("hash", "n"))
     wanted = materialise(places.join(common, "hash").groupBy("sig").agg(F.collect_set(F.struct("pos", "n")).alias("at")))
     n_rows = wanted.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     n_buckets = max(MIN_BUCKETS, n_rows // BUCKET_ROWS)
-    texts = docs.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
-    sent = _surroundings(texts.join(wanted, "sig").select("sig", "text", "at"), n_buckets, split)
-    spans = sent.groupBy("bucket").applyInPandas(_covered, "sig long, first long, last long")
-    return spans.groupBy("sig").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # all columns of docs stay on the left of both joins, so that both read one exchange
+    sent = _surroundings(docs.join(wanted.withColumnRenamed("sig", "_sig"), "_sig"), n_buckets, split)
+    spans = sent.groupBy("bucket").applyInPandas(_covered, "sig long, sig2 long, first long, last long")
+    found = spans.unionByName(copied).groupBy("sig").agg(F.collect_list(F.struct("sig2", "first", "last")).alias("_found"))
+    return docs.join(found.withColumnRenamed("sig", "_sig"), "_sig", "left")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -291,17 +314,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _with_spans(docs: DataFrame, split: int) -> DataFrame:
-    """docs(text, ...) without nulls in text -> the same rows with _spans and _copied."""
-    docs = docs.withColumn("_sig", F.xxhash64("text", F.octet_length("text")))
-    long_ = docs.where(F.octet_length("text") >= WINDOW).select(F.col("_sig").alias("sig"), "text")
-    copied = long_.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig", F.lit(True).alias("copied"))
-    spans = repeated_spans(long_, split).join(copied, "sig", "full")
-    return docs.join(spans.select(F.col("sig").alias("_sig"), F.col("spans").alias("_spans"), F.coalesce("copied", F.lit(False)).alias("_copied")), "_sig", "left").drop("_sig")
-
-
-def _gone(text: bytes, spans: list[dict] | None, copied: bool | None) -> list[tuple[int, int]]:
-    return [(0, len(text))] if copied else merged([(s["first"], s["last"]) for s in spans or []])
+def _gone(text: bytes, sig2: int, found: list[dict] | None) -> list[tuple[int, int]]:
+    own = [(s["first"], s["last"]) for s in found or [] if s["sig2"] == sig2]
+    return [(0, len(text))] if own and min(own)[0] < 0 else merged(own)
 
 
 def _rest(text: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -319,39 +334,42 @@ def remove_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, spans, copied in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc_id, text, sig2, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 b = text.encode()
-                gone = _gone(b, spans, copied)
+                gone = _gone(b, sig2, found)
                 kept = _rest(b, gone)
                 rows.append((doc_id, len(b), len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
 
-    return _with_spans(docs, split).select("doc_id", "text", "_spans", "_copied").mapInArrow(cut, _CUT)
+    return _dealt(docs, split).select("doc_id", "text", "_sig2", "_found").mapInArrow(cut, _CUT)
 
 
 def without_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """docs(text, n_chars, ...) with the remaining text and its length; null text stays null.
+    """docs(text, ...) with the remaining text, and its length where there is a column n_chars; null text stays null.
 
-    Bytes that the cuts leave of a split character go with it.
+    Bytes that the cuts leave of a split character go with it. Other columns pass unread, whatever their names.
     """
-    schema, names = docs.schema, docs.columns
-    found = _with_spans(docs.withColumn("_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))), split)
-    text_at, chars_at = names.index("text"), names.index("n_chars")
+    schema = docs.schema
+    others = [f"_{i}" for i in range(len(schema))]
+    text_at = schema.names.index("text")
+    chars_at = schema.names.index("n_chars") if "n_chars" in schema.names else None
+    renamed = docs.toDF(*others).withColumn("text", F.coalesce(F.col(others[text_at]), F.lit(""))).withColumn("null", F.col(others[text_at]).isNull()).drop(others[text_at])
+    held = [c for c in others if c != others[text_at]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns)
             texts = []
-            for text, null, spans, copied in zip(columns[text_at].to_pylist(), *(c.to_pylist() for c in columns[len(names) :]), strict=True):
+            for text, null, sig2, found in zip(*(batch.column(c).to_pylist() for c in ("text", "null", "_sig2", "_found")), strict=True):
                 b = text.encode()
-                texts.append(None if null else _rest(b, _gone(b, spans, copied)).decode("utf-8", "ignore"))
-            chars = columns[chars_at].to_pylist()
-            lengths = [c if t is None else len(t) for t, c in zip(texts, chars, strict=True)]
-            columns[text_at], columns[chars_at] = pa.array(texts, columns[text_at].type), pa.array(lengths, columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
-
-    return found.select(*names, "_null", "_spans", "_copied").mapInArrow(cut, schema)
+                texts.append(None if null else _rest(b, _gone(b, sig2, found)).decode("utf-8", "ignore"))
+            columns = [batch.column(c) if c in held else pa.array(texts, pa.string()) for c in others]
+            if chars_at is not None:
+                was = columns[chars_at]
+                columns[chars_at] = pa.array([c if t is None else len(t) for t, c in zip(texts, was.to_pylist(), strict=True)], was.type)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return _dealt(renamed, split).select(*held, "text", "null", "_sig2", "_found").mapInArrow(cut, schema)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
