@@ -36,6 +36,10 @@ from outlay.llm.workspace import fresh_dir, materialise
 SPLIT_BYTES = 8 << 20
 FILE_BYTES = 1 << 30
 READ_BYTES = 1 << 20
+#: Bytes of shared digests up to which they are broadcast, and of one of them; tasks that one payload's pages are dealt to.
+BROADCAST_BYTES = 16 << 20
+DIGEST_BYTES = 96
+SALTS = 64
 MAGIC = b"\x1f\x8b\x08"
 _PAGE = "urn:outlay:page:"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -79,13 +83,17 @@ def write_archives(pages: DataFrame, out_dir: str) -> DataFrame:
     """pages(page_id, url, html) -> manifest(path, n_bytes, n_records) of what was written."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
-    shared = (
+    shared = materialise(
         pages.groupBy(F.sha1("payload").alias("digest"))
         .agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1 and first_id is not null")
         .select("digest", "first_id")
     )
-    named = pages.withColumn("digest", F.sha1("payload")).join(shared, "digest", "left")
+    if shared.count() * DIGEST_BYTES <= BROADCAST_BYTES:  # payloads stay where they are
+        named = pages.withColumn("digest", F.sha1("payload")).join(F.broadcast(shared), "digest", "left")
+    else:  # one payload's pages are dealt to SALTS tasks
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = pages.withColumn("digest", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     refers = F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))
     todo = named.select("page_id", "url", "payload", refers.alias("refers_to"))
 

@@ -134,3 +134,47 @@ def test_vectors(spark):
     got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0"), 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1 << 20), (0, 2, 2, 1 << 20), (0, 3, 100, 1 << 19), (100, 1, 0, 1 << 19), (100, 2, 1, 1 << 19), (100, 3, 2, 1 << 19)]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_vectors_of_any_size_and_length(spark):
+    big = float(1 << 40)
+    rows = [(100, [big, 1.0]), (1, [big, -1.0]), (2, [1.0, 1.0]), (3, [-big, 0.5]), (200, [0.5, 0.25, 1.0]), (4, [1.0, 1.0, 1.0]), (5, [float("inf"), 1.0]), (300, []), (400, [3e38, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, e array<double>").select("vec_id", topk.integer_vector(F.col("e")).alias("v")).where("v is not null")
+    held = {r["vec_id"]: r["v"] for r in v.collect()}
+    want = []
+    for q in (100, 200, 400):
+        scored = [(max(min(sum(a * b for a, b in zip(held[q], x, strict=True)), 2**63 - 1), -(2**63)), i) for i, x in held.items() if i != q and len(x) == len(held[q])]
+        want += [(q, k + 1, i, s) for k, (s, i) in enumerate(sorted(scored, key=lambda t: (-t[0], t[1]))[:10])]
+    got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == want
+
+
+def test_top_rows_by_slices_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for shift in (0, 3):
+        exact = rng.integers(-1024, 1025, (700, 9)) << shift
+        exact[rng.integers(0, 700, 200)] = exact[5]  # ties
+        q, ids = rng.integers(-900, 900, (5, 9)), rng.permutation(700)
+        low = exact.min(axis=0)
+        s = max(0, int((exact - low).max()).bit_length() - topk.SLICE_BITS)
+        bits = ((((exact - low) >> s).astype(np.uint16).T[:, None, :] >> np.arange(topk.SLICE_BITS, dtype=np.uint16)[None, :, None]) & 1).astype(np.uint8)
+        slices = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, -700 % 64))), axis=2, bitorder="little").view(np.uint64)
+        got = topk.search_block(np.arange(1000, 1005), q, ids, low, s, slices, exact.astype(np.int32), 10)
+        scores = exact @ q.T
+        want = [(1000 + i, int(ids[j]), int(scores[j, i])) for i in range(5) for j in np.lexsort((ids, -scores[:, i]))[:10]]
+        assert got == want
+
+
+def test_urls_and_payloads_of_hot_keys(spark, monkeypatch):
+    """The salted ways give what the broadcast ways give."""
+    rows = [(i, "http://a.com/en/1" if i % 3 else None, "<p>x" if i % 2 else None) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
+    judge = lambda: sorted(map(str, url_filter.filter_urls(pages, rules).collect()))
+    write = lambda: sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.materialise(warc.write_archives(pages, fresh_dir(spark, "t")))).collect())
+    small = judge(), write()
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", -1)
+    assert (judge(), write()) == small and small[1][-1] == (59, "response", None) and small[1][0] == (0, "revisit", 58)
