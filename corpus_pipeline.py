@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from outlay.llm import decontaminate, jaccard, packing, repeats, toxicity
-from outlay.llm.workspace import fresh_dir
+from outlay.llm.workspace import drop_dir, fresh_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole ``documents`` table, each written and read again; a stage's table goes once the next is there."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = fresh_dir(spark, f"pipeline-{name}")
+        last, path = path, fresh_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            drop_dir(spark, last)
     return STAGES[-1][1](spark, docs, sf_dir)
