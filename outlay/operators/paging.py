@@ -15,7 +15,7 @@ MAX_CURSOR = 512
 #: Sort name -> (sort expression with NULL sentinels, descending). The sentinels.
 CONTRACT_SORTS = {
     "value-desc": (lambda: F.coalesce(F.col("amount_cents"), F.lit(-100)), True),
-    "value-asc": (lambda: F.coalesce(F.col("amount_cents"), F.lit(10**20).cast("decimal(21,0)").cast("double")), False),
+    "value-asc": (lambda: F.coalesce(F.col("amount_cents").cast("double"), F.lit(1e20)), False),
     "date-desc": (lambda: F.coalesce(F.col("signed_at"), F.lit("")), True),
     "date-asc": (lambda: F.coalesce(F.col("signed_at"), F.lit("9999-99")), False),
 }

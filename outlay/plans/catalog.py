@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outlay.functions import coerce, identity, values
 from outlay.operators import amendments, asof, competition, filters, interests, joint, network, paging, pick, quality, rollups, search, trend
 from outlay.plans.crosswalk import CONTRACTS_SQL, GROUP_SQL, PROCEDURE_GROUPS, contracts, table
+from outlay.plans.registry import ORACLES, QUERIES, register
 from outlay.sources import sinks
 from outlay.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
 TODAY = "1998-06-30"
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str) -> Callable[[Query], Query]:
-    """Adds a query under its function's name; sql may use the table `contracts`."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = f"WITH {CONTRACTS_SQL}{sql}" if sql.startswith(",") else f"WITH {CONTRACTS_SQL} {sql}" if " contracts" in sql else sql
-        return f
-
-    return add
 
 
 def _totals_sql(key: str, partner: str) -> str:
@@ -407,3 +392,8 @@ def sector_top_tail(spark: SparkSession, sf: str) -> DataFrame:
     sums = contracts(spark, sf, "division", "amount_cents").where("amount_cents is not null").groupBy("division").agg(F.sum("amount_cents").alias("v"))
     ranked = sums.withColumn("r", F.row_number().over(Window.orderBy(F.desc("v"), "division")))  # one row a division
     return ranked.groupBy(F.when(F.col("r") <= 3, F.col("division")).otherwise("other").alias("sector")).agg(rollups.cents(F.sum("v")).alias("value_eur"))
+
+
+from outlay.plans import derived, listed, typed  # noqa: E402, F401  they register theirs
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -13,7 +13,7 @@ def one(spark, column, **cells):
     return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{k} {'string' if v is None or isinstance(v, str) else 'double'}" for k, v in cells.items())).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("text", "want"), [("1 234,56", 1234.56), ("3", 3.0), ("-1", None), ("x", None), ("", None), (None, None), ("99999999999", None)])
+@pytest.mark.parametrize(("text", "want"), [("1 234,56", 1234.56), ("3", 3.0), ("-1", None), ("1.234,56", 1234.56), ("+5", 5.0), (".5", 0.5), ("\u00a07\t", 7.0), ("1.2.3", None), ("x", None), ("", None), (None, None), ("99999999999", None)])
 def test_real(spark, text, want):
     assert one(spark, coerce.to_real(F.col("t")), t=text) == want
 
