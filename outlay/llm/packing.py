@@ -32,7 +32,7 @@ from outlay.llm.workspace import materialise
 SEQUENCE = 4096
 CLOSING_ID = 2
 #: Pieces of one length that are ranked in one sort, and such sorts beyond one a length, at most.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 1_000
 SLICES = 1 << 16
 #: Distinct words whose ids a task keeps; beyond, it starts afresh.
 CACHE_WORDS = 400_000
