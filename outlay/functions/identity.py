@@ -23,7 +23,7 @@ def eik_clean(raw: Column) -> Column:
 
 def _check_digit(code: Column, first: int, weights: tuple[tuple[int, ...], tuple[int, ...]]) -> Column:
     """Weighted sum mod 11; 10 sends to the second weights; 10 again is 0."""
-    digit = lambda i: F.try_to_number(F.substring(code, first + i, 1), F.lit("9")).cast("int")
+    digit = lambda i: F.ascii(F.substring(code, first + i, 1)) - 48
     one, two = (sum((digit(i) * w for i, w in enumerate(ws)), F.lit(0)) % 11 for ws in weights)
     return F.when(one < 10, one).when(two < 10, two).otherwise(0)
 

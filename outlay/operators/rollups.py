@@ -64,17 +64,38 @@ def flow_pairs(contracts: DataFrame) -> DataFrame:
 
 
 QUANTILES = {"p25_eur": 0.25, "median_eur": 0.5, "p75_eur": 0.75, "p90_eur": 0.9, "p95_eur": 0.95, "p99_eur": 0.99}
+#: Slices of a doubling of the value.
+SLICES = 350
 
 
-def cohort_percentiles(contracts: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles of clean positive values for each division.
+def values_at_ranks(base: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """group, n, and for each name the value at a 1-based rank given as a column of n; null beyond the end.
 
-    ``percentile_disc`` keeps a count for each distinct value and is pre-aggregated before
-    the shuffle, so no division is sorted by a single window.
+    Equal values are counted first. A group's values are cut into slices of a fifth of a percent; sums
+    of the slices' counts say which slice holds a rank, and only those slices are sorted. So no
+    group is sorted whole, and a hot value is one row. Values must be positive.
     """
-    base = contracts.where("amount_cents > 0 and coalesce(division, '') <> ''")
-    discs = [cents(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY amount_cents)")).alias(n) for n, q in QUANTILES.items()]
-    return base.groupBy("division").agg(F.count("*").alias("priced_contracts"), *discs)
+    counted = base.groupBy(group, value).agg(F.count("*").alias("c")).withColumn("slice", F.floor(F.log2(value) * SLICES))
+    sliced = counted.groupBy(group, "slice").agg(F.sum("c").alias("c"))
+    own = Window.partitionBy(group)  # some thousands of slices a group
+    placed = sliced.select(group, "slice", "c", F.sum("c").over(own.orderBy("slice")).alias("until"), F.sum("c").over(own).alias("n"))
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]))
+    wanted = placed.withColumn("w", names).where("w.rank > until - c and w.rank <= until").select(group, "slice", "n", F.col("w.name").alias("name"), (F.expr("w.rank - (until - c)")).alias("rank"))
+    inside = counted.join(wanted, [group, "slice"]).withColumn("upto", F.sum("c").over(Window.partitionBy(group, "slice", "name").orderBy(value)))
+    found = inside.where("upto >= rank").groupBy(group, "n", "name").agg(F.min(value).alias("v"))
+    return found.groupBy(group, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])
+
+
+def _priced(contracts: DataFrame) -> DataFrame:
+    return contracts.where("amount_cents > 0 and coalesce(division, '') <> ''")
+
+
+def cohort_percentiles(contracts: DataFrame) -> DataFrame:
+    """Nearest-rank percentiles of clean positive values for each division."""
+    n = F.col("n")
+    ranks = {name: F.floor((n * round(q * 100) + 99) / 100) for name, q in QUANTILES.items()}
+    found = values_at_ranks(_priced(contracts), "division", "amount_cents", ranks)
+    return found.select("division", n.alias("priced_contracts"), *[cents(k).alias(k) for k in QUANTILES])
 
 
 #: Band, least cohort, anchor, next coarser anchor.
@@ -94,18 +115,15 @@ def cohort_band(amount: Column) -> Column:
 
 
 def leave_one_out(contracts: DataFrame, quantile: float) -> DataFrame:
-    """For each positive amount, the linear percentile of its division without it.
+    """For each positive amount, the linear percentile of its division without it; divisions of one row have none.
 
-    Sorted position k of n values; without row k the interpolation points shift by one behind it. The
-    two neighbours it needs are found by rank, so no division is collected into an array.
+    Without x the sorted values from x on move up by one. So three values of the whole division and
+    a comparison with x give the two to interpolate between: one small row a division is joined.
     """
-    base = contracts.where("amount_cents > 0 and coalesce(division, '') <> ''").select("id", "division", "amount_cents")
-    ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("division").orderBy("amount_cents", "id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("division")))
+    base = _priced(contracts).select("id", "division", "amount_cents")
     at = (F.col("n") - 2) * F.lit(quantile)
-    low = F.floor(at)
-    places = ranked.where("n > 1").select("*", low.alias("low"), (at - low).alias("part"))
-    wanted = places.withColumn("a", F.when(F.col("low") < F.col("rank"), F.col("low")).otherwise(F.col("low") + 1)).withColumn("high", F.least(F.col("low") + 1, F.col("n") - 2)).withColumn("b", F.when(F.col("high") < F.col("rank"), F.col("high")).otherwise(F.col("high") + 1))
-    # at most four ranks of a division are ever asked for
-    points = places.select("division", F.explode(F.array("low", F.col("low") + 1, F.col("low") + 2)).alias("rank")).distinct().join(ranked.select("division", "rank", F.col("amount_cents").alias("v")), ["division", "rank"])
-    x = wanted.join(points.select("division", F.col("rank").alias("a"), F.col("v").alias("va")), ["division", "a"]).join(points.select("division", F.col("rank").alias("b"), F.col("v").alias("vb")), ["division", "b"])
-    return x.select("id", "division", "amount_cents", "n", (F.col("va") + (F.col("vb") - F.col("va")) * F.col("part")).alias("q"))
+    low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("n") - 2)
+    points = values_at_ranks(base, "division", "amount_cents", {"a0": low + 1, "a1": low + 2, "b0": high + 1, "b1": high + 2}).where("n > 1")
+    x = F.col("amount_cents")
+    a, b = (F.when(F.col(f"{k}0") < x, F.col(f"{k}0")).otherwise(F.col(f"{k}1")) for k in "ab")
+    return base.join(points, "division").select("id", "division", "amount_cents", "n", (a + (b - a) * (at - low)).alias("q"))

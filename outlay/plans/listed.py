@@ -43,9 +43,9 @@ def companies_by_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(_rollup_sql("bidder_id", "authority_id", _COMPANIES, "AND division = 'ECONOMY' AND substr(signed_at, 1, 4) IN ('1995', '1996') AND coalesce(eu_funded, 0) = 0", "'ECONOMY'")
-          + " SELECT bidder_id, name, kind, sum_cents, contracts, partners, division FROM e WHERE kind = 'company' AND contracts BETWEEN 2 AND 5 ORDER BY partners DESC, bidder_id DESC LIMIT 26")
+          + " SELECT bidder_id, name, kind, sum_cents, contracts, partners, division FROM e WHERE kind = 'company' AND contracts BETWEEN 21 AND 100 ORDER BY partners DESC, bidder_id DESC LIMIT 26")
 def companies_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    p = lists.EntityFilters(sectors=("ECONOMY",), years=("1995", "1996"), eu="national", kinds=("company",), count_bucket="2-5")
+    p = lists.EntityFilters(sectors=("ECONOMY",), years=("1995", "1996"), eu="national", kinds=("company",), count_bucket="21-100")
     return lists.entity_page(_companies(spark, sf, p).where(lists.company_filter(p)), lists.COMPANY_SORTS, "authorities", "bidder_id").select(*_SHOWN)
 
 
