@@ -21,10 +21,15 @@ def eik_clean(raw: Column) -> Column:
     return F.trim(F.when(raw.startswith(LABEL), F.substring(raw, len(LABEL) + 1, 1_000)).otherwise(raw))
 
 
+def _weighted(code: Column, first: int, weights: tuple[int, ...]) -> Column:
+    """The weighted digit sum mod 11, as one short expression: unrolled sums outgrow what can be compiled."""
+    places = F.array(*[F.struct(F.lit(first + i).alias("at"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
+    return F.aggregate(places, F.lit(0), lambda total, p: total + (F.ascii(F.substr(code, p["at"], F.lit(1))) - 48) * p["w"]) % 11
+
+
 def _check_digit(code: Column, first: int, weights: tuple[tuple[int, ...], tuple[int, ...]]) -> Column:
     """Weighted sum mod 11; 10 sends to the second weights; 10 again is 0."""
-    digit = lambda i: F.ascii(F.substring(code, first + i, 1)) - 48
-    one, two = (sum((digit(i) * w for i, w in enumerate(ws)), F.lit(0)) % 11 for ws in weights)
+    one, two = (_weighted(code, first, ws) for ws in weights)
     return F.when(one < 10, one).when(two < 10, two).otherwise(0)
 
 
@@ -47,8 +52,13 @@ def normal_name(name: Column) -> Column:
 
 def identity_key(eik: Column, name: Column) -> Column:
     """A valid code, else the normalised name, else the one unknown bucket."""
+    return key_of(eik_valid(eik), eik_clean(eik), name)
+
+
+def key_of(valid: Column, code: Column, name: Column) -> Column:
+    """The same from a clean code whose validity is known."""
     named = F.coalesce(F.trim(name) != "", F.lit(False))
-    return F.when(eik_valid(eik) == 1, F.concat(F.lit("eik:"), eik_clean(eik))).when(named, F.concat(F.lit("name:"), normal_name(name))).otherwise(UNKNOWN)
+    return F.when(valid == 1, F.concat(F.lit("eik:"), code)).when(named, F.concat(F.lit("name:"), normal_name(name))).otherwise(UNKNOWN)
 
 
 def slug(entity_id: str) -> str:

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlay.functions.identity import eik_clean, eik_valid, identity_key
-from outlay.operators.pick import latest_by, mode_by
+from outlay.functions.identity import eik_clean, eik_valid, key_of
+from outlay.operators.pick import latest_by, mode_by, name_order
 
 #: What a name holds and the type bucket it means, first match wins; "^": at its start.
 TYPE_LADDER = [
@@ -103,13 +103,20 @@ def lot_number(lot: Column) -> Column:
     return F.when(digits != "", F.coalesce(digits.try_cast("bigint").cast("string"), lot)).otherwise(lot)
 
 
+def identified(awards: DataFrame) -> DataFrame:
+    """awards(contractor_eik, contractor_name) -> each distinct pair once: n, eik (if valid), valid, key."""
+    pairs = awards.groupBy("contractor_eik", "contractor_name").agg(F.count("*").alias("n")).withColumn("code", eik_clean(F.col("contractor_eik")))
+    checked = pairs.withColumn("valid", eik_valid(F.col("code")))
+    return checked.select("contractor_eik", "contractor_name", "n", "valid", F.when(F.col("valid") == 1, F.col("code")).alias("eik"), key_of(F.col("valid"), F.col("code"), F.col("contractor_name")).alias("key"))
+
+
 def bidders(awards: DataFrame) -> DataFrame:
     """awards(contractor_eik, contractor_name) -> one row an identity: name, eik, validity, kind."""
-    valid = eik_valid(F.col("contractor_eik"))
-    named = awards.select("contractor_eik", "contractor_name", identity_key(F.col("contractor_eik"), F.col("contractor_name")).alias("key"), valid.alias("valid"), F.when(valid == 1, eik_clean(F.col("contractor_eik"))).alias("eik"))
+    named = identified(awards)
     joint = F.contains("contractor_name", F.lit(";")) | _any([F.contains(F.upper("contractor_name"), F.lit(w)) for w in CONSORTIUM])
     per = named.groupBy("key").agg(F.min("eik").alias("eik"), F.max("valid").alias("eik_valid"), F.max(F.coalesce(joint.cast("int"), F.lit(0))).alias("joint"), F.min("contractor_name").alias("least"))
-    names = mode_by(named, ["key"], "contractor_name").select("key", "contractor_name")
+    counts = named.where("trim(contractor_name) <> ''").groupBy("key", "contractor_name").agg(F.sum("n").alias("n"))
+    names = latest_by(counts, ["key"], [F.desc("n"), *name_order("contractor_name")]).select("key", "contractor_name")
     unknown = F.col("key").startswith("unknown:")
     kind = F.when(unknown, "unknown").when(F.col("joint") == 1, "consortium").otherwise("company")
     return per.join(names, "key", "left").select("key", F.when(unknown, "Неизвестен изпълнител").otherwise(F.coalesce("contractor_name", "least")).alias("name"), "eik", "eik_valid", kind.alias("kind"))

@@ -17,11 +17,15 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return ranked.where((F.col("_rank") == 1) | ~known).drop("_rank")
 
 
+def name_order(value: str) -> list[Column]:
+    """Between equally frequent names: with lower-case letters first, longer, then smaller."""
+    return [F.desc(F.col(value).rlike(r"\p{Ll}")), F.desc(F.length(value)), F.asc(value)]
+
+
 def mode_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The most frequent value of each key; ties: with lower-case letters first, longer, then smaller."""
     counts = df.where(F.col(value).isNotNull() & (F.trim(value) != "")).groupBy(*keys, value).count()
-    order = [F.desc("count"), F.desc(F.col(value).rlike(r"\p{Ll}")), F.desc(F.length(value)), F.asc(value)]
-    return latest_by(counts, keys, order).select(*keys, value, F.col("count").alias("n"))
+    return latest_by(counts, keys, [F.desc("count"), *name_order(value)]).select(*keys, value, F.col("count").alias("n"))
 
 
 def first_nonblank_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Column) -> DataFrame:
