@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import ALNUM, Words, chunks, mix
+from outlay.llm.bytes_text import ALNUM, chunks, lean, mix, Words
 from outlay.llm.workspace import materialise
 
 WINDOW = 10
@@ -196,7 +196,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         if k:
             out = materialise(out)
-        out = out.mapInArrow(search, _SCHEMA)
+        out = out.mapInArrow(lean(search), _SCHEMA)
     return out
 
 
@@ -215,7 +215,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     keep[runs[:, 0]] = False
                     yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs
 
 

@@ -22,8 +22,8 @@ groups; sets outside the largest component visit all of them.
 
 Results: every document gets n_shingles and component_id; copies are not expanded into
 pairs. Null or wordless text has an empty set, linked with nothing; under five words the
-whole sequence is one shingle; rows that share doc_id and text count as one document, rows
-that share doc_id only are compared each; rows without a doc_id link nothing; an empty table
+whole sequence is one shingle; rows that share a doc_id count as one document
+with the links of each of its texts; rows without a doc_id link nothing; an empty table
 gives no rows; extra columns are not read. Shingles are compared as 64-bit hashes, sets told apart by
 128-bit signatures.
 """
@@ -36,10 +36,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, mix
+from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, give_back, lean, mix
 from outlay.llm.components import components
 from outlay.llm.workspace import materialise, slots
 
@@ -54,7 +54,7 @@ LEADER_ROUNDS = 2
 LEADERS = 8
 #: Shingles that a bucket holds on average, and that a task packs before it sends them.
 BUCKET_POSTINGS = 1 << 19
-FLUSH_POSTINGS = 1 << 20
+FLUSH_POSTINGS = 1 << 19
 #: Bytes of sets that a cell holds on average, and sets of one component that share a cell.
 CELL_BYTES = 4 << 20
 CELL_SETS = 1 << 10
@@ -122,6 +122,13 @@ _PACKED = "bucket int, ids binary, known binary, tokens binary, many binary, sig
 _SURVEYED = "doc_id long, n long, sig long, sig2 long, home int, sigs binary, shared binary"
 
 
+def _each(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, set) of a batch's rows; few texts at a time are Python strings."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield from zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True)
+
+
 def _pack_all(docs: DataFrame, n_buckets: int) -> DataFrame:
     """Packets of documents (a negative bucket) and of their sets' shingles by bucket.
 
@@ -161,7 +168,7 @@ def _pack_all(docs: DataFrame, n_buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "ids", "known", "tokens", "many", "sigs", "sigs2"])
 
         for batch in batches:
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
+            for doc, s in _each(batch):
                 sig = signature(s)
                 ids.append(doc)
                 sigs.append(sig[0])
@@ -177,7 +184,7 @@ def _pack_all(docs: DataFrame, n_buckets: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(pack, _PACKED)
+    return docs.mapInArrow(lean(pack), _PACKED)
 
 
 def _survey(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -210,6 +217,7 @@ def _survey(docs: DataFrame, n_buckets: int) -> DataFrame:
             shared[:-1] |= same
             counts = np.bincount((both[shared] & _U(0xFFFFFFFF)).astype(np.int64), minlength=len(sig))
             out = homes(sig[counts > 0], counts[counts > 0])
+        give_back()
         for c in ("doc_id", "n", "sig", "sig2", "home"):
             out[c] = (out[c] if c in out else pd.Series([pd.NA] * len(out), index=out.index)).astype("Int64")
         for c in ("sigs", "shared"):
@@ -230,7 +238,7 @@ def _hopeful(surveyed: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -
         return pd.DataFrame({"sig": sig, "shared": np.bincount(at, weights=_join(pdf["shared"], np.uint32)).astype(np.int64)})
 
     shares = surveyed.where("home is not null").select("home", "sigs", "shared").groupBy("home").applyInPandas(add, "sig long, shared long")
-    return reps.join(shares, "sig").where(F.col("shared") * threshold[1] >= F.col("n") * threshold[0]).select("sid", "sig", "sig2", "n")
+    return reps.join(shares, "sig").where(F.col("shared") * threshold[1] >= F.col("n") * threshold[0]).select("sid", "uid", "sig", "sig2", "n")
 
 
 # -- 2: the remaining sets, in the first order
@@ -239,9 +247,9 @@ _SETS = "sid long, n int, tokens binary, sets binary"
 
 
 def _sets_of(docs: DataFrame, hopeful: DataFrame, count: int) -> DataFrame:
-    """(sid, n, tokens) of the wanted sets; a text is known by its signature, not its doc_id alone."""
-    wanted = _few(hopeful.select(F.col("sid").alias("doc_id"), "sig", "sig2"), count, 24)
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "sig", "sig2")
+    """(sid, n, tokens) of the wanted sets, sid being their own uid; a text is known by its signature, not its doc_id alone."""
+    wanted = _few(hopeful.select(F.col("sid").alias("doc_id"), "uid", "sig", "sig2"), count, 32)
+    texts = docs.join(wanted, "doc_id").select("uid", "text", "sig", "sig2")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +259,7 @@ def _sets_of(docs: DataFrame, hopeful: DataFrame, count: int) -> DataFrame:
                     rows.append((doc, len(s), s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["sid", "n", "tokens"])
 
-    return texts.mapInArrow(build, "sid long, n int, tokens binary").dropDuplicates(["sid"])
+    return texts.mapInArrow(lean(build), "sid long, n int, tokens binary").dropDuplicates(["sid"])
 
 
 def _flushes(sets: DataFrame) -> DataFrame:
@@ -275,7 +283,7 @@ def _flushes(sets: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    return sets.mapInArrow(pack, "flush long, sids binary, ns binary, tokens binary")
+    return sets.mapInArrow(lean(pack), "flush long, sids binary, ns binary, tokens binary")
 
 
 def _by_bucket(tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,7 +328,7 @@ def _ordered_sets(flushes: DataFrame, n_buckets: int, threshold: tuple[int, int]
                     rows.append((int(sid), int(n), t[by_c].tobytes(), c[by_c].tobytes()))
         return pd.DataFrame(rows, columns=["sid", "n", "tokens", "sets"])
 
-    totals = flushes.select("flush", "tokens").mapInArrow(send, "bucket int, flush long, tokens binary, counts binary").groupBy("bucket").applyInPandas(add, "flush long, bucket int, totals binary")
+    totals = flushes.select("flush", "tokens").mapInArrow(lean(send), "bucket int, flush long, tokens binary, counts binary").groupBy("bucket").applyInPandas(add, "flush long, bucket int, totals binary")
     return flushes.groupBy("flush").cogroup(totals.groupBy("flush")).applyInPandas(order, _SETS)
 
 
@@ -385,7 +393,7 @@ def _postings(live: DataFrame, n_buckets: int, top: int | None, leaders: int | N
         if docs:
             yield flush()
 
-    return live.select("sid", "n", "tokens", "sets", "comp", "members").mapInArrow(post, _POSTED)
+    return live.select("sid", "n", "tokens", "sets", "comp", "members").mapInArrow(lean(post), _POSTED)
 
 
 def _rank(sids: np.ndarray, turn: int) -> np.ndarray:
@@ -554,16 +562,17 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     n_buckets = max(slots(spark), int(words // BUCKET_POSTINGS) + 1)
     surveyed = materialise(_survey(docs, n_buckets))
     rows = surveyed.where("n is not null").select("doc_id", "n", "sig", "sig2")
-    reps = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("sid")))
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("sid"))
+    # a set's own id: its smallest doc_id, but for doc_ids of several sets a number beyond doc_ids
+    again = F.row_number().over(Window.partitionBy("sid").orderBy("sig", "sig2", "n")) > 1
+    reps = materialise(sets.withColumn("uid", F.when(again, F.lit(1 << 62) + F.pmod(F.xxhash64("sig", "sig2", "n"), F.lit(1 << 62))).otherwise(F.col("sid"))))
     hopeful = materialise(_hopeful(surveyed, reps, threshold))
     flushes = materialise(_flushes(_sets_of(docs, hopeful, hopeful.count())))
     sets = materialise(_ordered_sets(flushes, n_buckets, threshold))
     links = set_links(sets, threshold, hot)
-    if links is None:
-        of = reps.withColumn("component", F.col("sid"))
-    else:
-        linked = components(links).select(F.col("u").alias("sid"), "component")
-        of = reps.join(linked, "sid", "left").select("sig", "sig2", "n", F.coalesce("component", "sid").alias("component"))
+    one = reps.where("uid != sid").select(F.col("uid").alias("u"), F.col("sid").alias("v"))  # one document
+    linked = components(one if links is None else links.unionByName(one)).select(F.col("u").alias("uid"), "component")
+    of = reps.join(linked, "uid", "left").select("sig", "sig2", "n", F.coalesce("component", "sid").alias("component"))
     return rows.join(of.select("sig", "sig2", "n", "component"), ["sig", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -574,7 +583,8 @@ def keep_one_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Da
     """
     found = jaccard_components(docs, threshold).where("doc_id is not null")
     gone = materialise(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone")))
-    return docs.join(_few(gone, gone.count(), 8), F.col("_gone") == docs["doc_id"], "left_anti")
+    gone = _few(gone, gone.count(), 8)
+    return docs.join(gone, gone["_gone"] == docs["doc_id"], "left_anti")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

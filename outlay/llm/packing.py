@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import mix, prefix_sums, span_hashes
+from outlay.llm.bytes_text import lean, mix, prefix_sums, span_hashes
 from outlay.llm.workspace import materialise
 
 SEQUENCE = 4096
@@ -35,7 +35,7 @@ CLOSING_ID = 2
 SLICE_ROWS = 1_000
 SLICES = 1 << 16
 #: Distinct words whose ids a task keeps; beyond, it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 #: Stands between words that are encoded in one go; no other byte of UTF-8 text has its token.
@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
                     first = end
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 Pattern = tuple[tuple[int, int], ...]

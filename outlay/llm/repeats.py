@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import CHUNK_BYTES, mix, prefix_sums, span_hashes
+from outlay.llm.bytes_text import CHUNK_BYTES, give_back, lean, mix, prefix_sums, span_hashes
 from outlay.llm.workspace import materialise
 
 WINDOW = 200
@@ -115,7 +115,7 @@ def _places(docs: DataFrame) -> DataFrame:
                 own = np.searchsorted(bounds, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sigs[own + first]), pa.array(at - bounds[own])], names=["hash", "sig", "pos"])
 
-    return docs.mapInArrow(run, "hash long, sig long, pos long")
+    return docs.mapInArrow(lean(run), "hash long, sig long, pos long")
 
 
 _SENT = "bucket int, hashes binary, before binary, behind binary, contexts binary, member binary, sigs binary, sigs2 binary, pos binary"
@@ -192,7 +192,7 @@ def _surroundings(joined: DataFrame, n_buckets: int, split: int) -> DataFrame:
         if held:
             yield flush()
 
-    return joined.mapInArrow(run, _SENT)
+    return joined.mapInArrow(lean(run), _SENT)
 
 
 def _distinct(key: np.ndarray, before: np.ndarray, behind: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +276,8 @@ def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
         for l, r, rows in maximal_repeats(left[own], right[own], before[own], behind[own]):
             rows = rows + first
             reach_left[rows], reach_right[rows] = np.maximum(reach_left[rows], l), np.maximum(reach_right[rows], r)
+    del keys, contexts, ctx, left, right
+    give_back()
     hit = places[reach_left[places["row"]] >= 0]
     at = hit["row"].to_numpy()
     return pd.DataFrame({"sig": hit["sig"], "sig2": hit["sig2"], "first": hit["pos"] - reach_left[at], "last": hit["pos"] + reach_right[at]})
@@ -342,7 +344,7 @@ def remove_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
 
-    return _dealt(docs, split).select("doc_id", "text", "_sig2", "_found").mapInArrow(cut, _CUT)
+    return _dealt(docs, split).select("doc_id", "text", "_sig2", "_found").mapInArrow(lean(cut), _CUT)
 
 
 def without_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -369,7 +371,7 @@ def without_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
                 columns[chars_at] = pa.array([c if t is None else len(t) for t, c in zip(texts, was.to_pylist(), strict=True)], was.type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return _dealt(renamed, split).select(*held, "text", "null", "_sig2", "_found").mapInArrow(cut, schema)
+    return _dealt(renamed, split).select(*held, "text", "null", "_sig2", "_found").mapInArrow(lean(cut), schema)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
