@@ -12,12 +12,13 @@ Landmarks come from labelled training texts: the strings most of whose texts are
 grown while all their occurrences agree, one for each group that stands in the same texts.
 Fitting uses at most ``SAMPLE`` labelled training texts of either class, chosen by a hash of
 doc_id; that is its only bound. Scoring reads every whole text, in its own task, without a
-shuffle. A unit without all letters of a landmark (all but one, if it has more than three) has
-the value zero by definition, in fitting and in scoring; no other value is set to zero.
+shuffle. Units that hold fewer of a landmark's letters than the kernel's subsequences are long
+are passed over: their value is zero. No other value is set to zero.
 
 Learning uses rows with crc32(doc_id as text) mod 5 <> 0 only. Defined results: null and empty
 texts have no units and get the score of that; null doc_ids count as not held out; without
-labelled rows of both classes every score is 0; repeated rows stay; an empty table gives
+labelled rows of both classes every score is 0; a doc_id labelled both ways is not learnt from,
+of a doc_id's several texts the smallest is; repeated rows stay; an empty table gives
 no rows; extra columns are not read.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, prefix_sums, span_hashes
+from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, lean, prefix_sums, span_hashes
 
 SAMPLE = 1000
 LANDMARKS = 64
@@ -74,12 +75,6 @@ def _row(s: bytes) -> np.ndarray:
     return np.frombuffer(s[:UNIT].ljust(UNIT, b"\0"), dtype=np.uint8)
 
 
-def _letters(units: np.ndarray) -> np.ndarray:
-    """A bit for each byte value mod 63 that occurs."""
-    bit = np.where(units > 0, np.uint64(1) << (units % 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bit, axis=1)
-
-
 class Kernels:
     """Kernel values of units with all landmarks, relative to the landmarks' own; known units are kept.
 
@@ -87,23 +82,24 @@ class Kernels:
     """
 
     KEPT = 500_000
-    KEPT_VALUES = 50_000
+    KEPT_BYTES = 32 << 20
 
     def __init__(self, landmarks: list[bytes]) -> None:
         self.landmarks = [np.frombuffer(x, dtype=np.uint8) for x in landmarks]
         self.own = [np.array([subsequence_kernel(x, _row(s)[None, :], *kernel)[0] for x, s in zip(self.landmarks, landmarks, strict=True)]) for kernel in KERNELS]
-        self.letters = _letters(np.stack([_row(s) for s in landmarks])) if landmarks else np.zeros(0, np.uint64)
+        self.letters = np.zeros((len(landmarks), 256), dtype=bool)
+        for held, landmark in zip(self.letters, self.landmarks, strict=True):
+            held[landmark] = True
         self.width = len(landmarks) * len(KERNELS)
         self.dull, self.fresh = np.zeros(0, np.uint64), []
         self.known, self.known_values = np.zeros(0, np.uint64), np.zeros((0, self.width), np.float32)
 
     def values(self, units: np.ndarray) -> np.ndarray:
         out = np.zeros((len(units), self.width), dtype=np.float32)
-        have = _letters(units)
         length = (units > 0).sum(axis=1)
+        least = min(order for order, _ in KERNELS)
         for k, landmark in enumerate(self.landmarks):
-            wanted = int(np.bitwise_count(self.letters[k]))
-            live = np.flatnonzero((np.bitwise_count(have & self.letters[k]) >= wanted - (wanted > 3)) & (length >= KERNELS[0][0]))
+            live = np.flatnonzero(self.letters[k][units].sum(axis=1) >= least)
             live = live[np.argsort(length[live], kind="stable")]
             for at in range(0, len(live), 1024):
                 part = live[at : at + 1024]
@@ -139,7 +135,7 @@ class Kernels:
         if sum(map(len, self.fresh)) > self.KEPT // 8:
             self.dull = np.unique(np.concatenate([*self.fresh, self.dull if len(self.dull) < self.KEPT else self.dull[:0]]))
             self.fresh = []
-        if len(self.known) > self.KEPT_VALUES:
+        if self.known_values.nbytes > self.KEPT_BYTES:
             self.known, self.known_values = self.known[:0], self.known_values[:0]
         self.known, self.known_values = np.concatenate([self.known, live]), np.concatenate([self.known_values, values])
 
@@ -362,13 +358,13 @@ def _gapped(kernels: Kernels, landmarks: list[bytes], clean: np.ndarray) -> np.n
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits on up to `sample` labelled texts of either class that are not held out."""
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
     n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     chosen = None
     for label in (0, 1):
         part = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in texts.toLocalIterator())
     return fit([x for _, t, x in rows if t], [x for _, t, x in rows if not t], n.get(1, 0) / max(1, sum(n.values())))
 
@@ -385,7 +381,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             s = np.concatenate([m.scores(kernels.pooled(texts.slice(i, 2000).to_pylist())) if m else np.zeros(min(2000, batch.num_rows - i)) for i in range(0, batch.num_rows, 2000)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -404,7 +400,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, cut: float = 0.5, text_col:
                 keep = shared.value.scores(kernels.pooled(part.column(at).to_pylist())) < cut
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
