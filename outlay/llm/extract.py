@@ -1,14 +1,17 @@
 """Main-text extraction: gradient-boosted trees over DOM nodes, decoded down the tree.
 
 Every element of a page gets features: text, link and punctuation density of its subtree,
-its depth, its siblings, its own and its ancestors' tag and attribute tokens. Boosted trees give
+its depth, its siblings, its own and its ancestors' tag and attribute tokens (hashed; no list of
+words says what a token means). Boosted trees give
 the chance that it belongs to the main text. Decoding is a best assignment over the whole
 tree with three states, *around*, *kept* and *dropped*: around may hold any, kept may hold kept or
 dropped, dropped holds only dropped. So no kept node stands below a dropped one, and main
 text is always a part of a main node.
 
 Training: up to ``SAMPLE`` pages, chosen by a hash of page_id, whose single <article> marks the
-main nodes, and as many pages composed from their words with the parts listed in ``PARTS``.
+main nodes, and twice as many (200 at least) composed from their words with the parts listed in ``PARTS``, whose
+nodes are known by how they were made. Of a real page, what stands in the article below an element
+with attributes or a part's tag may be either, so such nodes are not learnt from.
 The trees are fitted by Spark ML and read into arrays; each page is parsed, scored and
 decoded in its own task, without a shuffle.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,23 +36,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = 150
-ROUNDS = 20
+ROUNDS = 30
 DEPTH = 4
 
 # Fixed values of the HTML standard and of common usage.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style head title noscript template iframe object svg math select option button textarea".split())
+#: No text of a page: code, styles, the head, what stands for a frame, the values of form controls.
+UNSEEN = frozenset("script style head title template iframe select option button textarea".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "li", "ul", "a", "nav", "header", "footer", "aside", "form", "table", "blockquote", "pre", "span", "b"]
-GOOD = frozenset("article content main post entry story body text maincontent prose page".split())
-BAD = frozenset("nav menu navbar navigation ad ads advert advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent notice alert sidebar side widget comment comments reply replies discussion disqus footer foot header masthead share social related breadcrumb breadcrumbs login search form subscribe newsletter signup copyright legal popup modal toolbar pagination pager tags".split())
+#: Buckets that attribute tokens are hashed to.
+BUCKETS = 64
 _WORD = re.compile(r"[a-z]+")
 
-FEATURES = [f"tag_{t}" for t in TAGS] + "good bad good_above bad_above chrome_above article_above depth children text own_text link_share punctuation per_tag place siblings sibling_text paragraph_share".split()
+FEATURES = [f"tag_{t}" for t in TAGS] + "chrome_above article_above depth children text own_text link_share punctuation per_tag place siblings sibling_text paragraph_share".split() + [f"{who}_{i}" for who in ("own", "above") for i in range(BUCKETS)]
+_OWN_AT = len(FEATURES) - 2 * BUCKETS
 _CHROME = {"nav", "header", "footer", "aside", "form"}
 
 
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS
+
+
 class Node:
     __slots__ = ("attrs", "children", "features", "index", "parent", "state", "tag")
 
@@ -135,7 +145,8 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         tags[p] += tags[k] + 1
         paragraphs[p] += node.tag == "p"
     out = np.zeros((n, len(FEATURES)), dtype=np.float32)
-    flags = [(False, False, False, False)] * n
+    flags = [(False, False)] * n
+    tokens, above_tokens = [frozenset()] * n, [frozenset()] * n
     depth = [0] * n
     tag_at = {t: i for i, t in enumerate(TAGS)}
     place, kin = [0] * n, [1] * n
@@ -144,16 +155,22 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         for i, k in enumerate(seen):
             place[k], kin[k] = i, len(seen)
     for k, node in enumerate(nodes):
-        good, bad = bool(node.attrs & GOOD), bool(node.attrs & BAD)
         above = flags[up[k]]
         if k:
             depth[k] = depth[up[k]] + 1
-        flags[k] = (above[0] or good, above[1] or bad, above[2] or node.tag in _CHROME, above[3] or node.tag in ("article", "main"))
+            own_above = tokens[up[k]]
+            above_tokens[k] = above_tokens[up[k]] if own_above <= above_tokens[up[k]] else above_tokens[up[k]] | own_above
+        flags[k] = (above[0] or node.tag in _CHROME, above[1] or node.tag in ("article", "main"))
+        if node.attrs:
+            tokens[k] = frozenset(map(_bucket, node.attrs))
+            out[k, [_OWN_AT + i for i in tokens[k]]] = 1
+        if above_tokens[k]:
+            out[k, [_OWN_AT + BUCKETS + i for i in above_tokens[k]]] = 1
         if node.tag in tag_at:
             out[k, tag_at[node.tag]] = 1
         kids = sum(isinstance(c, Node) for c in node.children)
-        out[k, len(TAGS) :] = (
-            good, bad, *above, depth[k], math.log1p(kids), math.log1p(text[k]), math.log1p(own[k]), links[k] / (text[k] + 1), marks[k] / (text[k] + 1),
+        out[k, len(TAGS) : _OWN_AT] = (
+            *above, depth[k], math.log1p(kids), math.log1p(text[k]), math.log1p(own[k]), links[k] / (text[k] + 1), marks[k] / (text[k] + 1),
             text[k] / (tags[k] + 1), place[k] / kin[k], math.log1p(kin[k]), math.log1p(text[up[k]] - text[k]) if k else 0, paragraphs[k] / (kids + 1),
         )
     return out
@@ -216,14 +233,21 @@ def main_text(root: Node) -> str:
 
 # ---- training ------------------------------------------------------------------------------
 
-#: Parts of composed pages, as (opening tag, kind of content); those of MAIN hold the text.
-MAIN = ['<article>', '<main>', '<div id="content">', '<div class="post">', '<div class="entry-content">', '<article class="story">', '<section class="article-body">']
+#: Openings of a composed page's main part and of its other parts, with the kind of content; "~": one of the kind's tokens.
+MAIN = ['<article>', '<article>', '<main>', '<div id="~">', '<div class="~">', '<div class="~ ~">', '<section class="~">', '<article class="~">', '<div role="main">']
+MAIN_TOKENS = "article content main post entry story body text maincontent prose page copy".split()
 PARTS = [
-    ('<nav>', "links"), ('<div class="menu">', "links"), ('<ul class="breadcrumbs">', "links"), ('<header>', "line"), ('<div class="masthead">', "line"),
-    ('<div class="ad">', "text"), ('<div class="sponsored">', "text"), ('<aside>', "text"), ('<div class="sidebar">', "links"), ('<div id="side" class="widget">', "text"),
-    ('<div class="notice">', "text"), ('<div class="cookie-banner">', "text"), ('<form>', "text"), ('<div class="newsletter">', "text"), ('<div class="share">', "links"),
-    ('<section id="comments">', "talk"), ('<div class="comments">', "talk"), ('<div class="related">', "links"), ('<footer>', "line"), ('<div id="footer">', "text"),
+    ('<nav>', "links", ""), ('<nav class="~">', "links", "nav"), ('<div class="~">', "links", "nav"), ('<ul class="~">', "links", "nav"), ('<header>', "line", ""), ('<div class="~">', "line", "head"),
+    ('<div class="~">', "text", "ad"), ('<div class="~">', "text", "ad"), ('<aside>', "text", ""), ('<aside class="~">', "text", "side"), ('<div id="~">', "links", "side"), ('<div class="~">', "text", "side"),
+    ('<div class="~">', "text", "notice"), ('<form>', "text", ""), ('<form class="~">', "text", "form"), ('<div class="~">', "text", "form"), ('<div class="~">', "links", "share"),
+    ('<section id="~">', "talk", "talk"), ('<div class="~">', "talk", "talk"), ('<footer>', "line", ""), ('<div id="~">', "text", "foot"), ('<div class="~">', "line", "foot"),
 ]
+PART_TOKENS = {
+    "nav": "nav menu navbar navigation breadcrumb breadcrumbs toolbar pagination pager tags".split(), "head": "header head masthead banner top".split(),
+    "ad": "ad ads advert advertisement adsense sponsor sponsored promo promotion".split(), "side": "sidebar side widget related aside".split(),
+    "notice": "notice alert cookie cookies consent popup modal legal copyright".split(), "form": "login search form subscribe newsletter signup".split(),
+    "share": "share social follow related".split(), "talk": "comment comments reply replies discussion disqus".split(), "foot": "footer foot copyright legal".split(),
+}
 
 
 def _compose(rng: random.Random, words: list[str]) -> tuple[Node, set[int]]:
@@ -231,8 +255,14 @@ def _compose(rng: random.Random, words: list[str]) -> tuple[Node, set[int]]:
     some = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b))) + "."
     close = lambda tag: f"</{_WORD.search(tag)[0]}>"
 
+    def named(tag: str, tokens: list[str]) -> str:
+        while "~" in tag:
+            tag = tag.replace("~", rng.choice(tokens), 1)
+        return tag
+
     def part() -> str:
-        tag, kind = rng.choice(PARTS)
+        tag, kind, tokens = rng.choice(PARTS)
+        tag = named(tag, PART_TOKENS.get(tokens, []))
         body = {
             "links": lambda: "<ul>" + "".join(f'<li><a href="/">{some(1, 3)}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>",
             "line": lambda: "&copy; " + some(2, 12),
@@ -244,7 +274,7 @@ def _compose(rng: random.Random, words: list[str]) -> tuple[Node, set[int]]:
     def paragraph() -> str:
         return rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<p>{} <a href='/'>x</a></p>", "<blockquote>{}</blockquote>", "<div>{}</div>"]).format(some(2, 90))
 
-    tag = rng.choice(MAIN)
+    tag = named(rng.choice(MAIN), MAIN_TOKENS)
     inside = [f"<h1>{some(2, 8)}</h1>"] * rng.randint(0, 1) + [paragraph() for _ in range(rng.randint(1, 9))] + [part() for _ in range(rng.choice([0, 0, 1, 2]))]
     rng.shuffle(inside)
     before, after = ["".join(part() for _ in range(rng.randint(0, 4))) for _ in range(2)]
@@ -284,7 +314,7 @@ def _inside(nodes: list[Node], begins: list[Node], other: list[Node]) -> set[int
 
 
 def training_nodes(pages: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of marked pages and of as many composed ones."""
+    """Features and labels of the nodes of marked pages and of composed ones."""
     rng = random.Random(seed)
     x, y = [], []
     words: list[str] = []
@@ -293,11 +323,13 @@ def training_nodes(pages: list[str], seed: int = 11) -> tuple[np.ndarray, np.nda
         nodes = walk(root)
         begins = [n for n in nodes if n.tag == "article"]
         if len(begins) == 1:
-            main = _inside(nodes, begins, [n for n in nodes if n.tag in _CHROME or n.attrs & BAD])
-            x.append(node_features(nodes))
-            y.append([n.index in main for n in nodes])
+            main = _inside(nodes, begins, [])
+            unsure = main - _inside(nodes, begins, [n for n in nodes if n is not begins[0] and (n.attrs or n.tag in _CHROME)])
+            known = [n.index for n in nodes if n.index not in unsure]
+            x.append(node_features(nodes)[known])
+            y.append([k in main for k in known])
             words += "".join(c for n in nodes for c in n.children if isinstance(c, str)).split()[:500]
-    for _ in range(max(60, len(x))):
+    for _ in range(max(200, 2 * len(x))):
         root, main = _compose(rng, words or ["text", "word", "line", "and", "more"])
         nodes = walk(root)
         x.append(node_features(nodes))
