@@ -11,7 +11,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_date: str, right_
 
     Dates fall into buckets of `days` + 1, so a left row can only match its own bucket or the one
     before: two candidates an equi-join finds, whatever the size of either side. Left rows
-    without a match, or with a null key, get null. `row_id` must tell left rows apart.
+    without a match, or with a null key, get null; of several values on one date the largest counts.
+    `row_id` must tell left rows apart.
     """
     width = days + 1
     bucket = lambda c: F.floor(F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")) / width)
@@ -20,7 +21,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_date: str, right_
     sought = left.select(F.col(row_id).alias("_row"), F.col(by).alias("_by"), F.col(left_date).cast("date").alias("_on"))
     sought = sought.withColumn("_bucket", F.explode(F.array(bucket(F.col("_on")), bucket(F.col("_on")) - 1)))
     near = sought.join(ahead, ["_by", "_bucket"]).where((F.col("_at") <= F.col("_on")) & (F.datediff("_on", "_at") <= days))
-    best = near.groupBy("_row").agg(F.max_by("_value", "_at").alias(value))
+    best = near.groupBy("_row").agg(F.max(F.struct("_at", "_value"))["_value"].alias(value))
     return left.join(best, left[row_id] == best["_row"], "left").drop("_row")
 
 

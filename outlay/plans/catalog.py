@@ -15,6 +15,9 @@ from outlay.streaming import windows
 TODAY = "1998-06-30"
 
 
+_TOTALED = ("bidder_id", "authority_id", "signed_at", "eu_funded", "amount_cents")
+
+
 def _totals_sql(key: str, partner: str) -> str:
     return f"""SELECT {key}, CAST(sum(amount_cents) AS BIGINT) AS sum_cents, count(*) AS contracts, count(DISTINCT {partner}) AS partners,
       CAST(sum(CASE WHEN eu_funded = 1 THEN amount_cents ELSE 0 END) AS BIGINT) AS eu_cents, min(signed_at) AS first_date, max(signed_at) AS last_date
@@ -23,12 +26,12 @@ def _totals_sql(key: str, partner: str) -> str:
 
 @register(_totals_sql("bidder_id", "authority_id"))
 def company_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return rollups.entity_totals(contracts(spark, sf), "bidder_id", "authority_id")
+    return rollups.entity_totals(contracts(spark, sf, *_TOTALED), "bidder_id", "authority_id")
 
 
 @register(_totals_sql("authority_id", "bidder_id"))
 def authority_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return rollups.entity_totals(contracts(spark, sf), "authority_id", "bidder_id")
+    return rollups.entity_totals(contracts(spark, sf, *_TOTALED), "authority_id", "bidder_id")
 
 
 @register(", s AS (SELECT bidder_id, division, sum(amount_cents) AS v FROM contracts WHERE amount_cents IS NOT NULL GROUP BY ALL) SELECT bidder_id, division FROM s QUALIFY row_number() OVER (PARTITION BY bidder_id ORDER BY v DESC, division) = 1")
@@ -40,7 +43,7 @@ def company_primary_sector(spark: SparkSession, sf: str) -> DataFrame:
   count(DISTINCT CASE WHEN amount_cents IS NOT NULL THEN authority_id END) AS authorities, count(DISTINCT CASE WHEN amount_cents IS NOT NULL THEN bidder_id END) AS bidders,
   min(CASE WHEN signed_at BETWEEN '1995-01-01' AND '{TODAY}' THEN signed_at END) AS first_date, max(CASE WHEN signed_at <= '{TODAY}' THEN signed_at END) AS last_date FROM contracts""")
 def home_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return rollups.home_totals(contracts(spark, sf), "1995-01-01", TODAY)
+    return rollups.home_totals(contracts(spark, sf, "authority_id", "bidder_id", "signed_at", "amount_cents"), "1995-01-01", TODAY)
 
 
 @register("SELECT division, count(*) AS contracts, CAST(sum(amount_cents) AS DOUBLE) / 100 AS value_eur FROM contracts WHERE amount_cents IS NOT NULL AND coalesce(division, '') <> '' GROUP BY division")

@@ -49,12 +49,16 @@ def export_path(base: str, freshness: str, filtered: bool) -> str | None:
 
 
 def sitemap_shards(df: DataFrame, id_col: str, page: int = SITEMAP_PAGE, slices: int = 64) -> DataFrame:
-    """id, shard: pages of `page` ids in id order.
+    """id, shard: pages of `page` ids in id order; null ids come first.
 
-    Positions come from ranges of ids (found by sampling, so of similar size) whose counts are summed
-    before, not from a window over all rows.
+    A sampled range partitioning names `slices` borders; from then on a row's slice follows from its
+    id alone, so counts and ranks agree however often the plan runs. Positions are the counts of
+    the slices before and the rank within: no window over all rows.
     """
-    ranged = df.select(id_col).repartitionByRange(slices, id_col).withColumn("_part", F.spark_partition_id())
+    sampled = df.select(id_col).where(F.col(id_col).isNotNull()).repartitionByRange(slices, id_col)
+    borders = sorted(r["b"] for r in sampled.groupBy(F.spark_partition_id()).agg(F.min(id_col).alias("b")).collect())  # one a slice
+    part = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(id_col))) if borders else F.lit(0)
+    ranged = df.select(id_col).withColumn("_part", F.when(F.col(id_col).isNull(), 0).otherwise(part))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
     starts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
