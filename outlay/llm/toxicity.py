@@ -12,8 +12,8 @@ Landmarks come from labelled training texts: the strings most of whose texts are
 grown while all their occurrences agree, one for each group that stands in the same texts.
 Fitting uses at most ``SAMPLE`` labelled training texts of either class, chosen by a hash of
 doc_id; that is its only bound. Scoring reads every whole text, in its own task, without a
-shuffle. Units that hold fewer of a landmark's letters than the kernel's subsequences are long
-are passed over: their value is zero. No other value is set to zero.
+shuffle. Units that share no subsequence as long as the kernel's with a landmark are passed over:
+their value is zero. No other value is set to zero.
 
 Learning uses rows with crc32(doc_id as text) mod 5 <> 0 only. Defined results: null and empty
 texts have no units and get the score of that; null doc_ids count as not held out; without
@@ -52,29 +52,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _decays(n: int, decay: float) -> np.ndarray:
+    """decay ** (row - column), on and below the diagonal."""
+    steps = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(steps >= 0, np.float32(decay) ** np.maximum(steps, 0), 0).astype(np.float32)
+
+
 def subsequence_kernel(landmark: np.ndarray, units: np.ndarray, order: int, decay: float) -> np.ndarray:
-    """The kernel of one landmark with many units (rows of bytes, zero-padded)."""
+    """The kernel of one landmark with many units (rows of bytes, zero-padded).
+
+    The recurrences along either string are products with a triangle of decays.
+    """
     n, width = units.shape
+    m = len(landmark)
     same = np.ascontiguousarray(units.T)[None] == landmark[:, None, None]
-    before = np.ones((len(landmark) + 1, width + 1, n), dtype=np.float32)
+    along_unit, along_landmark = _decays(width, decay), _decays(m, decay)
+    before = np.ones((m, width, n), dtype=np.float32)
     for _ in range(order - 1):
-        now = np.zeros_like(before)
-        for i in range(1, len(landmark) + 1):
-            hits = same[i - 1] * before[i - 1, :-1] * np.float32(decay**2)
-            run = np.zeros(n, dtype=np.float32)
-            for j in range(1, width + 1):
-                run *= np.float32(decay)
-                run += hits[j - 1]
-                now[i, j] = run
-            now[i] += np.float32(decay) * now[i - 1]
-        before = now
-    return (same * before[:-1, :-1]).sum(axis=(0, 1), dtype=np.float64) * decay**2
+        hits = same * before * np.float32(decay**2)
+        ended = (along_landmark @ np.matmul(along_unit, hits).reshape(m, -1)).reshape(m, width, n)
+        before[0], before[:, 0] = 0, 0
+        before[1:, 1:] = ended[:-1, :-1]
+    return (same * before).sum(axis=(0, 1), dtype=np.float64) * decay**2
 
 
 def _row(s: bytes) -> np.ndarray:
     return np.frombuffer(s[:UNIT].ljust(UNIT, b"\0"), dtype=np.uint8)
 
 
+def _common(places: np.ndarray, m: int, units: np.ndarray) -> np.ndarray:
+    """The length of the longest subsequence that a landmark of m bytes and each unit share, by bits: places[byte] has the landmark's places of a byte."""
+    left = np.full(len(units), (1 << m) - 1, dtype=np.uint32)
+    for column in np.ascontiguousarray(units.T):
+        met = left & places[column]
+        left = (left + met) | (left - met)
+    return m - np.bitwise_count(left & np.uint32((1 << m) - 1)).astype(np.int64)
+
+
 class Kernels:
     """Kernel values of units with all landmarks, relative to the landmarks' own; known units are kept.
 
@@ -87,9 +101,9 @@ class Kernels:
     def __init__(self, landmarks: list[bytes]) -> None:
         self.landmarks = [np.frombuffer(x, dtype=np.uint8) for x in landmarks]
         self.own = [np.array([subsequence_kernel(x, _row(s)[None, :], *kernel)[0] for x, s in zip(self.landmarks, landmarks, strict=True)]) for kernel in KERNELS]
-        self.letters = np.zeros((len(landmarks), 256), dtype=bool)
-        for held, landmark in zip(self.letters, self.landmarks, strict=True):
-            held[landmark] = True
+        self.places = np.zeros((len(landmarks), 256), dtype=np.uint32)
+        for held, landmark in zip(self.places, self.landmarks, strict=True):
+            np.bitwise_or.at(held, landmark, np.uint32(1) << np.arange(len(landmark), dtype=np.uint32))
         self.width = len(landmarks) * len(KERNELS)
         self.dull, self.fresh = np.zeros(0, np.uint64), []
         self.known, self.known_values = np.zeros(0, np.uint64), np.zeros((0, self.width), np.float32)
@@ -99,10 +113,11 @@ class Kernels:
         length = (units > 0).sum(axis=1)
         least = min(order for order, _ in KERNELS)
         for k, landmark in enumerate(self.landmarks):
-            live = np.flatnonzero(self.letters[k][units].sum(axis=1) >= least)
+            live = np.flatnonzero((self.places[k] > 0)[units].sum(axis=1) >= least)
+            live = live[_common(self.places[k], len(landmark), units[live]) >= least]
             live = live[np.argsort(length[live], kind="stable")]
-            for at in range(0, len(live), 1024):
-                part = live[at : at + 1024]
+            for at in range(0, len(live), 512):
+                part = live[at : at + 512]
                 width = int(length[part].max())
                 for j, kernel in enumerate(KERNELS):
                     v = subsequence_kernel(landmark, units[part, :width], *kernel) / self.own[j][k]
