@@ -106,3 +106,18 @@ def single_offers(contracts: DataFrame, mode: str, limit: int = 10) -> DataFrame
     """Contracts with one offer and a known amount: the latest, or the largest."""
     order = F.desc("amount_cents") if mode == "value" else F.desc(F.coalesce("signed_at", "published_at"))
     return contracts.where("bids_received = 1 and amount_cents is not null").orderBy(order, F.asc("id")).limit(limit)
+
+
+def year_options(contracts: DataFrame, this_year: str) -> DataFrame:
+    """The years that contracts were signed in, future and malformed ones left out."""
+    known = contracts.where(year_known(F.col("signed_at"), this_year))
+    return known.groupBy(F.substring("signed_at", 1, 4).alias("year")).agg(F.count("*").alias("contracts"))
+
+
+def leaders(rollups: dict[str, tuple[DataFrame, str, int]]) -> DataFrame:
+    """The first of each block by value: block -> (rollup with sum_cents, key, how many)."""
+    parts = [df.orderBy(F.desc("sum_cents"), F.asc(key)).limit(n).select(F.lit(block).alias("block"), F.col(key).cast("string").alias("key"), "sum_cents") for block, (df, key, n) in rollups.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -42,3 +42,12 @@ def decimal_shifts(leave_one_out_median: DataFrame) -> DataFrame:
     m, x = F.col("q"), F.col("amount_cents")
     fits = lambda v: (v >= m / 2) & (v <= 2 * m)
     return leave_one_out_median.where((x > 2 * m) & (fits(x / 10) | fits(x / 100))).withColumn("divisor", F.when(fits(x / 10), 10).otherwise(100))
+
+
+def anomalies(findings: dict[str, DataFrame]) -> DataFrame:
+    """Each flagged id once, with the names of the findings that flag it, in order."""
+    named = None
+    for name, df in findings.items():
+        one = df.select("id", F.lit(name).alias("finding"))
+        named = one if named is None else named.unionByName(one)
+    return named.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("finding")), ",").alias("findings"))

@@ -141,3 +141,25 @@ def framework_awards(spark: SparkSession, sf: str) -> DataFrame:
   SELECT a.bidder_id, b.bidder_id AS other, count(*) AS authorities FROM t a JOIN t b ON a.authority_id = b.authority_id AND a.bidder_id < b.bidder_id GROUP BY 1, 2 HAVING count(*) >= 2""")
 def shared_authorities(spark: SparkSession, sf: str) -> DataFrame:
     return details.competitors(contracts(spark, sf, "authority_id", "bidder_id", "amount_cents"))
+
+
+@register("SELECT substr(signed_at, 1, 4) AS year, count(*) AS contracts FROM contracts WHERE substr(signed_at, 1, 4) <= '1997' GROUP BY 1")
+def year_options(spark: SparkSession, sf: str) -> DataFrame:
+    return lists.year_options(contracts(spark, sf, "signed_at"), "1997")
+
+
+@register(""", c AS (SELECT CAST(bidder_id AS VARCHAR) AS key, CAST(sum(amount_cents) AS BIGINT) AS sum_cents, bidder_id AS k FROM contracts WHERE amount_cents IS NOT NULL GROUP BY bidder_id), a AS (SELECT CAST(authority_id AS VARCHAR) AS key, CAST(sum(amount_cents) AS BIGINT) AS sum_cents, authority_id AS k FROM contracts WHERE amount_cents IS NOT NULL GROUP BY authority_id)
+  SELECT * FROM (SELECT 'companies' AS block, key, sum_cents FROM c ORDER BY sum_cents DESC, k LIMIT 10) UNION ALL SELECT * FROM (SELECT 'authorities', key, sum_cents FROM a ORDER BY sum_cents DESC, k LIMIT 6)""")
+def home_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    base = contracts(spark, sf, "bidder_id", "authority_id", "signed_at", "eu_funded", "amount_cents")
+    total = lambda key: base.where("amount_cents is not null").groupBy(key).agg(F.sum("amount_cents").alias("sum_cents"))
+    return lists.leaders({"companies": (total("bidder_id"), "bidder_id", 10), "authorities": (total("authority_id"), "authority_id", 6)})
+
+
+@register("SELECT a.id, count(b.id) AS twins FROM (SELECT id, eu_funded, bids_received, amount_cents FROM contracts WHERE amount_cents > 9000000) a JOIN (SELECT id, eu_funded, bids_received FROM contracts WHERE amount_cents > 9000000) b ON a.eu_funded IS NOT DISTINCT FROM b.eu_funded AND a.bids_received IS NOT DISTINCT FROM b.bids_received GROUP BY a.id")
+def same_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Null-safe equi-join: unknown EU funding or offers are equal to unknown ones; profiles are counted before they meet."""
+    large = contracts(spark, sf, "id", "eu_funded", "bids_received", "amount_cents").where("amount_cents > 9000000")
+    n = large.groupBy(F.col("eu_funded").alias("e"), F.col("bids_received").alias("b")).agg(F.count("*").alias("n"))
+    met = large.join(n, F.col("eu_funded").eqNullSafe(F.col("e")) & F.col("bids_received").eqNullSafe(F.col("b")))
+    return met.groupBy("id").agg(F.sum("n").alias("twins"))

@@ -120,6 +120,13 @@ def decimal_shift_suspects(spark: SparkSession, sf: str) -> DataFrame:
     return quality.decimal_shifts(rollups.leave_one_out(_shifted(spark, sf), 0.5)).select("id", "amount_cents", "divisor")
 
 
+@register(_loo_sql(0.95) + """, w2 AS (SELECT id FROM w WHERE n >= 12 AND amount_cents > 1.5 * q), x2 AS (SELECT id, 'outlier' AS finding FROM w2 UNION SELECT id, 'single-offer' FROM contracts WHERE bids_received = 1)
+  SELECT id, string_agg(finding, ',' ORDER BY finding) AS findings FROM x2 GROUP BY id""")
+def anomaly_report(spark: SparkSession, sf: str) -> DataFrame:
+    outliers = quality.outliers(rollups.leave_one_out(_shifted(spark, sf), 0.95), ratio=1.5)
+    return quality.anomalies({"outlier": outliers, "single-offer": contracts(spark, sf, "id", "bids_received").where("bids_received = 1")})
+
+
 def _sort_query(name: str, sql_key: str, down: bool) -> None:
     way = "DESC" if down else "ASC"
 
