@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outlay.llm import decontaminate, extract, jaccard, packing, repeats, sharding, topk, toxicity, url_filter, warc
+from outlay.llm import conversations, decontaminate, extract, jaccard, packing, repeats, runs, sharding, token_counts, topk, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_bitsliced_topk": topk.op10_bitsliced_topk,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
