@@ -102,11 +102,11 @@ def _shifted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _loo_sql(q: float) -> str:
-    """The linear percentile of a division without the row itself, by list positions."""
+    """The linear percentile of a division without the row itself: only the values of four ranks are joined to its rows."""
     return f""", s AS (SELECT id, division, {_SHIFTED} AS amount_cents FROM contracts), b AS (SELECT id, division, amount_cents, row_number() OVER (PARTITION BY division ORDER BY amount_cents, id) - 1 AS k, count(*) OVER (PARTITION BY division) AS n FROM s WHERE amount_cents > 0 AND coalesce(division, '') <> ''),
-  l AS (SELECT division, list(amount_cents ORDER BY k) AS v FROM b GROUP BY division),
-  x AS (SELECT b.*, v, CAST(floor((n - 2) * {q}) AS BIGINT) AS lo, (n - 2) * CAST({q} AS DOUBLE) - floor((n - 2) * CAST({q} AS DOUBLE)) AS part FROM b JOIN l USING (division) WHERE n > 1),
-  y AS (SELECT *, v[1 + CASE WHEN lo < k THEN lo ELSE lo + 1 END] AS va, least(lo + 1, n - 2) AS hi FROM x), z AS (SELECT *, v[1 + CASE WHEN hi < k THEN hi ELSE hi + 1 END] AS vb FROM y),
+  x AS (SELECT *, CAST(floor((n - 2) * {q}) AS BIGINT) AS lo, (n - 2) * CAST({q} AS DOUBLE) - floor((n - 2) * CAST({q} AS DOUBLE)) AS part, least(CAST(floor((n - 2) * {q}) AS BIGINT) + 1, n - 2) AS hi FROM b WHERE n > 1),
+  r AS (SELECT division, max(amount_cents) FILTER (k = lo) AS lo0, max(amount_cents) FILTER (k = lo + 1) AS lo1, max(amount_cents) FILTER (k = hi) AS hi0, max(amount_cents) FILTER (k = hi + 1) AS hi1 FROM x GROUP BY division),
+  z AS (SELECT x.*, CASE WHEN lo < k THEN lo0 ELSE lo1 END AS va, CASE WHEN hi < k THEN hi0 ELSE hi1 END AS vb FROM x JOIN r USING (division)),
   w AS (SELECT id, amount_cents, n, va + (vb - va) * part AS q FROM z)"""
 
 

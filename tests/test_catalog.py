@@ -16,4 +16,4 @@ def test_entry_and_registry(spark):
     assert e.entry(spark).columns == ["authority_id", "suppliers", "contracts", "value_eur", "hhi"]
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     if importlib.util.find_spec("outlay.llm"):
-        assert sum(n.startswith("op") and n[2].isdigit() for n in e.queries()) == 10
+        assert sum(n.startswith("op") and n[2].isdigit() for n in e.queries()) == 13
