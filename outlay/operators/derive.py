@@ -78,12 +78,17 @@ def joint_sources(notices: DataFrame) -> DataFrame:
     return latest_by(seen, ["unp"], order).drop("count")
 
 
-def tenders(headers: DataFrame, awards: DataFrame) -> DataFrame:
+def tenders(headers: DataFrame, awards: DataFrame, leads: DataFrame | None = None, authorities: DataFrame | None = None) -> DataFrame:
     """One row a procedure: from its header notice, else folded from its awards.
 
     headers(unp, subject, procedure_type, estimate, currency, authority_eik); awards(unp, subject,
-    estimate, currency, authority_eik). A procedure with awards is 'awarded'.
+    estimate, currency, authority_eik). A procedure with awards is 'awarded'. Of several headers of one procedure the
+    one with the least authority, subject, type, currency and estimate (in that order, nulls last) counts;
+    headers and awards without a procedure number are none. leads(unp, lead), if given, says which authority leads a
+    joint procedure and stands in place of its own; authorities(authority_eik), if given, are those that exist:
+    other procedures get no row.
     """
+    headers = latest_by(headers.where("unp is not null"), ["unp"], [F.asc_nulls_last(c) for c in ("authority_eik", "subject", "procedure_type", "currency", "estimate")])
     known = headers.select("unp").distinct()
     awarded = awards.where("unp is not null").select("unp").distinct().withColumn("won", F.lit(True))
     real = headers.join(awarded, "unp", "left").select(
@@ -94,7 +99,11 @@ def tenders(headers: DataFrame, awards: DataFrame) -> DataFrame:
         F.coalesce(F.min("subject"), F.lit(NO_SUBJECT)).alias("title"), F.min("authority_eik").alias("authority_eik"), F.min("estimate").alias("estimate"), F.coalesce(F.min("currency"), F.lit(CURRENCY)).alias("currency"),
         F.lit(NO_PROCEDURE).alias("procedure_type"), F.lit("awarded").alias("status"),
     )
-    return real.unionByName(rest)
+    out = real.unionByName(rest)
+    if leads is not None:
+        led = leads.where("unp is not null").groupBy("unp").agg(F.min("lead").alias("_lead"))
+        out = out.join(led, "unp", "left").withColumn("authority_eik", F.coalesce("_lead", "authority_eik")).drop("_lead")
+    return out if authorities is None else out.join(authorities.select("authority_eik").distinct(), "authority_eik", "left_semi").select(*real.columns)
 
 
 def lot_number(lot: Column) -> Column:
@@ -125,12 +134,15 @@ def bidders(awards: DataFrame) -> DataFrame:
 def owned(bidders: DataFrame, listed: DataFrame, branches: DataFrame) -> DataFrame:
     """ownership of valid bidders: listed(eik, ownership) by equal code, branches(prefix, eik) by a code's beginning.
 
-    A code that several entries fit takes the smallest; the lists are short and checked in, so they are broadcast.
+    A code that several entries fit takes the smallest. Beginnings are matched by equality: each code is cut at the lengths
+    that prefixes have (a handful: no longer than a code), so neither side is sent around or compared in a loop.
     """
-    starts = branches.join(listed, "eik").select("prefix", "ownership")
-    ok = bidders.where("eik_valid = 1").select("key", "eik")
-    exact = ok.join(F.broadcast(listed), "eik").select("key", "ownership")
-    begun = ok.join(F.broadcast(starts), F.col("eik").startswith(F.col("prefix"))).select("key", "ownership")
+    lengths = sorted(r[0] for r in branches.where("prefix <> ''").select(F.length("prefix")).distinct().collect())
+    starts = branches.join(listed, "eik").select(F.col("prefix").alias("code"), "ownership")
+    ok = bidders.where("eik_valid = 1 AND eik IS NOT NULL").select("key", "eik")
+    cuts = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("eik")) if lengths else F.array().cast("array<int>")
+    begun = ok.withColumn("n", F.explode(cuts)).select("key", F.substring("eik", F.lit(1), F.col("n")).alias("code")).join(starts, "code").select("key", "ownership")
+    exact = ok.join(listed, "eik").select("key", "ownership")
     found = exact.unionByName(begun).groupBy("key").agg(F.min("ownership").alias("ownership"))
     return bidders.join(found, "key", "left")
 
