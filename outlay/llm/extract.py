@@ -405,7 +405,9 @@ def extract(pages: DataFrame, trees: Trees) -> DataFrame:
                     texts.append(main_text(root))
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    # pandas would make floats of numbers beside nulls: ids go as text
+    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    return rows.mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

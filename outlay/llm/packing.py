@@ -262,9 +262,11 @@ def place(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     ranked = (
         salted.withColumn("r", F.row_number().over(inside))
         .join(F.broadcast(starts), ["length", "salt"])  # at most SEQUENCE + SLICES rows
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("from") + F.col("r") - 1).cast("long").alias("rank"))
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", (F.col("from") + F.col("r") - 1).cast("long").alias("rank"))
     )
-    return ranked.mapInPandas(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # as text: pandas would make floats of ids beside nulls
+    placed = ranked.mapInPandas(assign, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:

@@ -78,7 +78,7 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7) -> Dat
     """docs(doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        "doc_id",
+        F.col("doc_id").cast("string").alias("doc_id"),  # pandas would make floats of numbers beside nulls
         (F.octet_length(text) + OVERHEAD_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("_at"),
@@ -109,7 +109,7 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7) -> Dat
                 shard[own] = labels[first + (at[own] & ((1 << 33) - 1))]
             yield pdf.assign(shard=shard)
 
-    dealt = rows.mapInPandas(deal, "doc_id long, size long, text_crc32 long, _at long, shard int")
+    dealt = rows.mapInPandas(deal, "doc_id string, size long, text_crc32 long, _at long, shard int")
     slices = max(MIN_SLICES, -(-total // (n_shards * SLICE_ROWS)))
     key = F.xxhash64("_at", F.lit(seed + 1))
     dealt = materialise(dealt.withColumn("_key", key).withColumn("_slice", F.pmod(F.shiftrightunsigned("_key", 20), F.lit(slices)).cast("int")))
@@ -120,7 +120,7 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7) -> Dat
         dealt.withColumn("_rank", F.row_number().over(inside))
         .join(F.broadcast(starts), ["shard", "_slice"])
         .select(
-            "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
+            F.col("doc_id").cast("long").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard",
             (F.col("start") + F.col("_rank") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
         )

@@ -95,7 +95,8 @@ def write_archives(pages: DataFrame, out_dir: str) -> DataFrame:
         salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         named = pages.withColumn("digest", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     refers = F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))
-    todo = named.select("page_id", "url", "payload", refers.alias("refers_to"))
+    # pandas would make floats of numbers beside nulls: ids go as text
+    todo = named.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", refers.cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _filesystem(out_dir)
@@ -214,8 +215,10 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    columns = dict(zip(names, zip(*rows), strict=True)) if rows else dict.fromkeys(names, ())
+    whole = {"page_id", "payload_bytes", "refers_to"}
+    return pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in whole else pd.Series(v, dtype=object) for n, v in columns.items()})
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
