@@ -140,6 +140,7 @@ FIGURES = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
 def _whole(rows: DataFrame) -> DataFrame:
     """Conversations that fit one row."""
+    rows = rows.repartition("conv_id")  # serves the windows and the grouping alike
     again = Window.partitionBy("conv_id", "gone", "role", "text").orderBy(F.asc_nulls_first("turn"))
     rows = rows.withColumn("again", F.row_number().over(again) > 1).withColumn("fault", _fault(F.col("again")))
     one = F.struct("turn", "role", "text", "again", "initial", "fault")
