@@ -70,6 +70,13 @@ class Store:
         return self.spark.read.schema(TABLES[name][1]).parquet(f"{self.folder}/{name}/step={self.step}")
 
 
+    def kept(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows that this step reads several times, written once beside the tables."""
+        path = f"{self.folder}/_{name}/step={self.step}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+
 def _semi(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
     """Null-safe: groups without a name are groups."""
     k = keys.select(*(F.col(c).alias(f"_{c}") for c in by)).distinct()
@@ -110,14 +117,14 @@ def apply_window(spark: SparkSession, folder: str, step: int, contracts: DataFra
     touched = changed.select("id").unionByName(changed_annexes.where("id is not null").select("id")).distinct()
     # an annex may have moved: the contract it stood at before is touched, too
     moved = _semi(Store(spark, folder, step).log("annexes"), changed_annexes.select("key"), ["key"]).where("id is not null").select("id")
-    touched = touched.unionByName(moved).distinct()
+    touched = store.kept("touched", touched.unionByName(moved).distinct())
     own = store.current("contracts", touched).where("NOT coalesce(gone, false)")
     old = store.current("served", touched).where("flag IS NOT NULL")
     now = rule(own, _by_contract(store, touched))
     fresh = touched.join(now, "id", "left")  # a contract that went has a row without a flag
     served = store.write("served", fresh)
     signed = served.where("flag IS NOT NULL").withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
-    signed = signed.where("flag = 'ok'")
+    signed = store.kept("signed", signed.where("flag = 'ok'"))
 
     by = ["authority", "bidder"]
     pairs = _added(store, "pairs", _sums(signed, by)).alias("p")
@@ -125,9 +132,7 @@ def apply_window(spark: SparkSession, folder: str, step: int, contracts: DataFra
     on = F.expr("p.authority <=> l.authority AND p.bidder <=> l.bidder")
     joined = pairs.join(latest, on, "left").select("p.*", "l.latest").withColumn("appeared", (F.col("n") > 0).cast("long") - (F.col("was") > 0).cast("long"))
     joined = joined.select(*by, "n", "cents", "latest", "appeared")
-    path = f"{folder}/_pairs_{step}"
-    joined.write.mode("overwrite").parquet(path)
-    joined = spark.read.parquet(path)
+    joined = store.kept("pairs", joined)
     store.write("pairs", joined)
     for name, key in (("companies", "bidder"), ("authorities", "authority")):
         partners = joined.groupBy(key).agg(F.sum("appeared").alias("partners"))

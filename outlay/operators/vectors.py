@@ -59,38 +59,47 @@ def _with_lists(rows: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        n = min(probes, len(c))
+        n = min(probes, len(c))  # nearest first
         for batch in batches:
             vectors = batch.column("v").to_pylist()
-            near = np.zeros((len(vectors), n), dtype=np.int32)
+            near = np.tile(np.arange(n, dtype=np.int32) if n == len(c) else np.zeros(n, np.int32), (len(vectors), 1))
             fits = [i for i, v in enumerate(vectors) if len(v) == c.shape[1]]
             if fits:
                 score = np.array([vectors[i] for i in fits], dtype=np.float64) @ c.T
                 near[fits] = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            if n == len(c):
-                near[:] = np.arange(n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
 
     placed = rows.mapInArrow(assign, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, lists array<int>")
-    return placed.withColumn("list", F.explode(F.array_distinct("lists"))).drop("lists")
+    return placed.select(*rows.columns, F.posexplode(F.array_distinct("lists")).alias("probe", "list"))
 
 
 def write_index(rows: DataFrame, centre: np.ndarray, folder: str) -> None:
     """Every prepared row into its list; big lists are spread over files by id."""
-    _with_lists(rows, centre, 1).repartition("ns", "list", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("ns", "list").parquet(folder)
+    _with_lists(rows, centre, 1).drop("probe").repartition("ns", "list", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("ns", "list").parquet(folder)
 
 
 def search(spark: SparkSession, folder: str, centre: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """query, ns, rank, id, score of prepared queries (id, ns, v, norm)."""
+    """query, ns, rank, id, score, probe (how many nearer lists were read before) of prepared queries (id, ns, v, norm)."""
     index = spark.read.schema("id long, v array<int>, norm long, ns string, list int").parquet(folder)
     asked = _with_lists(queries.groupBy("id", "ns").agg(F.min("v").alias("v"), F.min_by("norm", "v").alias("norm")), centre, probes)
-    asked = asked.select(F.col("id").alias("query"), "ns", "list", F.col("v").alias("q"), F.col("norm").alias("q_norm"))
+    asked = asked.select(F.col("id").alias("query"), "ns", "list", "probe", F.col("v").alias("q"), F.col("norm").alias("q_norm"))
     met = asked.join(index, ["ns", "list"]).where((F.col("id") != F.col("query")) & (F.size("q") == F.size("v")))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    scored = met.select("query", "ns", "id", (dot / F.sqrt((F.col("q_norm") * F.col("norm")).cast("double"))).alias("score"))
+    scored = met.select("query", "ns", "id", "probe", (dot / F.sqrt((F.col("q_norm") * F.col("norm")).cast("double"))).alias("score"))
     # the rank's limit is applied in each task before the exchange
     best = Window.partitionBy("ns", "query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "ns", "rank", "id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "ns", "rank", "id", "score", "probe")
+
+
+def needed_probes(exact: DataFrame, target: float) -> int:
+    """The fewest probes that find the target share of an exact result's rows: read off the places of their lists."""
+    per = sorted((r["probe"], r["count"]) for r in exact.groupBy("probe").count().collect())  # a row a list
+    total, seen = sum(n for _, n in per), 0
+    for probe, n in per:
+        seen += n
+        if seen >= target * total:
+            return probe + 1
+    return 1
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

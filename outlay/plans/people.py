@@ -135,13 +135,13 @@ def whole_names(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- declared companies -----------------------------------------------------------------------------------------
 
-_WINNERS = """SELECT CASE WHEN s_suppkey % 10 = 3 THEN '„ОБЩА ВОДА“ АД' ELSE concat('„Фирма ', CAST(s_suppkey AS STRING), '" ООД') END AS name, lpad(CAST(s_suppkey AS STRING), 9, '4') AS eik, CASE WHEN s_suppkey % 17 = 0 THEN 0 ELSE 1 END AS valid FROM supplier"""
+_WINNERS = """SELECT CASE WHEN s_suppkey % 10 = 3 THEN '„ОБЩА ВОДА“ АД' ELSE concat('„Фирма ', CAST(s_suppkey AS STRING), '" ООД') END AS name, lpad(CAST(s_suppkey AS STRING), 9, '0') AS eik, CASE WHEN s_suppkey % 17 = 0 THEN 0 ELSE 1 END AS valid FROM supplier"""
 #: What officials wrote of supplier k = l_suppkey, by l_partkey % 8.
-_DECLARED = """SELECT l_orderkey, CASE l_partkey % 8 WHEN 0 THEN concat('ФИРМА ', CAST(l_suppkey AS STRING), ' ООД') WHEN 1 THEN concat('дялове в „Фирма ', CAST(l_suppkey AS STRING), '" ООД, ЕИК ', lpad(CAST(l_suppkey AS STRING), 9, '4'))
-  WHEN 2 THEN concat('2 дяла; „фирма ', CAST(l_suppkey AS STRING), '" ООД, прехвърлени') WHEN 3 THEN 'Обща вода АД' WHEN 4 THEN concat('друго, ', lpad(CAST(l_suppkey AS STRING), 9, '4')) WHEN 5 THEN concat('ЕИК 1', lpad(CAST(l_suppkey AS STRING), 9, '4'), ' няма') WHEN 6 THEN ' ' END AS entity, l_suppkey, l_partkey FROM lineitem"""
+_DECLARED = """SELECT l_orderkey, CASE l_partkey % 8 WHEN 0 THEN concat('ФИРМА ', CAST(l_suppkey AS STRING), ' ООД') WHEN 1 THEN concat('дялове в „Фирма ', CAST(l_suppkey AS STRING), '" ООД, ЕИК ', lpad(CAST(l_suppkey AS STRING), 9, '0'))
+  WHEN 2 THEN concat('2 дяла; „фирма ', CAST(l_suppkey AS STRING), '" ООД, прехвърлени') WHEN 3 THEN 'Обща вода АД' WHEN 4 THEN concat('друго, ', lpad(CAST(l_suppkey AS STRING), 9, '0')) WHEN 5 THEN concat('ЕИК 1', lpad(CAST(l_suppkey AS STRING), 9, '0'), ' няма') WHEN 6 THEN ' ' END AS entity, l_suppkey, l_partkey FROM lineitem"""
 
 
-@register(f"""WITH d AS ({_DECLARED}), w AS ({_WINNERS}), x AS (SELECT *, l_partkey % 8 AS k, l_suppkey % 10 = 3 AS shared, l_suppkey % 17 = 0 AS bad, lpad(CAST(l_suppkey AS STRING), 9, '4') AS own,
+@register(f"""WITH d AS ({_DECLARED}), w AS ({_WINNERS}), x AS (SELECT *, l_partkey % 8 AS k, l_suppkey % 10 = 3 AS shared, l_suppkey % 17 = 0 AS bad, lpad(CAST(l_suppkey AS STRING), 9, '0') AS own,
   (SELECT count(*) FROM w WHERE name LIKE '„ОБЩА%' AND valid = 1) AS shared_n, (SELECT min(eik) FROM w WHERE name LIKE '„ОБЩА%' AND valid = 1) AS shared_eik FROM d)
   SELECT method, count(*) AS n, count(DISTINCT eik) AS companies FROM (SELECT CASE WHEN k = 0 AND NOT shared AND NOT bad THEN 'exact_name_key' WHEN k = 3 AND shared_n = 1 THEN 'exact_name_key' WHEN k = 3 AND shared_n > 1 THEN 'ambiguous' WHEN k = 1 AND NOT shared AND NOT bad THEN 'declared_eik' WHEN k = 2 AND NOT shared AND NOT bad THEN 'extracted_name' END AS method,
   CASE WHEN k IN (0, 1, 2) AND NOT shared AND NOT bad THEN own WHEN k = 3 AND shared_n = 1 THEN shared_eik END AS eik FROM x) GROUP BY method""")
