@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.functions import annex_text
-from outlay.operators import amendments, derive, holders, joint, resolve
+from outlay.operators import amendments, declared, derive, holders, joint, resolve
 from outlay.plans.crosswalk import table
 from outlay.plans.derived import _HEADERS, _N, _notices
 from outlay.plans.registry import register
@@ -155,3 +155,36 @@ def resolved_companies(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"""WITH w AS ({_WINNERS}) SELECT 'ОБЩА ВОДА АД' AS key, count(*) AS companies, min(eik) AS "first", max(eik) AS "last" FROM w WHERE name LIKE '„ОБЩА%' AND valid = 1 HAVING count(*) > 1""")
 def ambiguous_names(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.ambiguous_keys(spark.sql(_WINNERS.replace("FROM supplier", "FROM {s}"), s=table(spark, sf, "supplier")))
+
+
+# -- declared stakes --------------------------------------------------------------------------------------------
+
+_HOLDINGS = """SELECT o_custkey % 60 AS person, l_suppkey % 25 AS company, CASE WHEN l_linenumber = 2 THEN 'family' ELSE 'self' END AS scope, o_orderpriority AS kind, l_linestatus = 'F' AS owns, l_returnflag AS template, o_orderstatus AS institution,
+  l_linenumber % 3 AS method_rank, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(extract(YEAR FROM l_shipdate) AS INT) - CASE WHEN l_partkey % 7 = 0 THEN 3 ELSE 0 END END AS year FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 4 = 1"""
+_FILINGS = "SELECT o_custkey % 60 AS person, CASE o_custkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'N' WHEN 2 THEN 'R' END AS template, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(extract(YEAR FROM o_orderdate) AS INT) END AS year, CASE WHEN o_orderkey % 2 = 0 THEN 2000 END AS folder_year FROM orders"
+
+
+def _holdings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_HOLDINGS.replace("FROM lineitem JOIN orders", "FROM {l} JOIN {o}"), l=table(spark, sf, "lineitem"), o=table(spark, sf, "orders"))
+
+
+_SET = lambda c: f"coalesce(string_agg(DISTINCT {c}, ',' ORDER BY {c}), '')"
+
+
+@register(f"""WITH h AS ({_HOLDINGS}) SELECT person, company, scope, {_SET('kind')} AS kinds, {_SET('template')} AS templates, {_SET('institution')} AS institutions, bool_or(owns) AS owns, max(method_rank) AS method_rank,
+  min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS years, max(CASE WHEN owns THEN year END) AS last_owned FROM h GROUP BY ALL""")
+def declared_links(spark: SparkSession, sf: str) -> DataFrame:
+    return declared.links(_holdings(spark, sf))
+
+
+@register(f"""WITH h AS ({_HOLDINGS}), y AS (SELECT DISTINCT person, company, scope, year FROM h WHERE year IS NOT NULL), g AS (SELECT *, year - row_number() OVER (PARTITION BY person, company, scope ORDER BY year) AS island FROM y),
+  s AS (SELECT person, company, scope, min(year) AS first_year, max(year) AS last_year FROM g GROUP BY person, company, scope, island) SELECT person, company, scope, CAST(row_number() OVER (PARTITION BY person, company, scope ORDER BY first_year) AS INT) AS spell, first_year, last_year FROM s""")
+def declared_spells(spark: SparkSession, sf: str) -> DataFrame:
+    return declared.spells(_holdings(spark, sf))
+
+
+@register(f"""WITH h AS ({_HOLDINGS}), f AS ({_FILINGS}), z AS (SELECT person, coalesce(template, '') AS template, max(coalesce(year, folder_year)) AS horizon FROM f WHERE coalesce(year, folder_year) IS NOT NULL GROUP BY ALL),
+  l AS (SELECT person, company, scope, max(year) AS last_owned FROM h WHERE owns AND year IS NOT NULL GROUP BY ALL)
+  SELECT l.*, (SELECT max(horizon) FROM z WHERE z.person = l.person AND z.template IN (SELECT template FROM h WHERE h.person = l.person AND h.company = l.company AND h.scope = l.scope)) AS horizon FROM l WHERE horizon > last_owned""")
+def divested_links(spark: SparkSession, sf: str) -> DataFrame:
+    return declared.divested(_holdings(spark, sf), spark.sql(_FILINGS.replace("FROM orders", "FROM {o}"), o=table(spark, sf, "orders")))
