@@ -184,7 +184,8 @@ def declared_spells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH h AS ({_HOLDINGS}), f AS ({_FILINGS}), z AS (SELECT person, coalesce(template, '') AS template, max(coalesce(year, folder_year)) AS horizon FROM f WHERE coalesce(year, folder_year) IS NOT NULL GROUP BY ALL),
-  l AS (SELECT person, company, scope, max(year) AS last_owned FROM h WHERE owns AND year IS NOT NULL GROUP BY ALL)
-  SELECT l.*, (SELECT max(horizon) FROM z WHERE z.person = l.person AND z.template IN (SELECT template FROM h WHERE h.person = l.person AND h.company = l.company AND h.scope = l.scope)) AS horizon FROM l WHERE horizon > last_owned""")
+  l AS (SELECT person, company, scope, max(year) AS last_owned FROM h WHERE owns AND year IS NOT NULL GROUP BY ALL),
+  u AS (SELECT DISTINCT person, company, scope, template FROM h WHERE template <> ''), b AS (SELECT u.person, company, scope, max(horizon) AS horizon FROM u JOIN z ON z.person = u.person AND z.template = u.template GROUP BY ALL)
+  SELECT person, company, scope, last_owned, horizon FROM l JOIN b USING (person, company, scope) WHERE horizon > last_owned""")
 def divested_links(spark: SparkSession, sf: str) -> DataFrame:
     return declared.divested(_holdings(spark, sf), spark.sql(_FILINGS.replace("FROM orders", "FROM {o}"), o=table(spark, sf, "orders")))
