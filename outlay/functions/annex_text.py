@@ -55,14 +55,26 @@ _UNIT = rf"(?iu)\A{_SPACE}*(?:\([^)]*\){_SPACE}*)?(?:\p{{L}}+{_SPACE}+)?{_words(
 _SAME = f"(?iu){_words(UNCHANGED)}"
 
 
+def _bind(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def number(token: Column) -> Column:
     """A number token's value: grouped by spaces, points or commas; at most two decimals. Null for others and for zero."""
-    plain = F.regexp_replace(token, r"[ \x{A0}\x{202F}]", "")
+    return _bind(_bind(F.regexp_replace(token, r"[ \x{A0}\x{202F}]", ""), _with_one_mark), _value)
+
+
+def _with_one_mark(plain: Column) -> Column:
+    """Of points and commas only the last kind stays."""
     both = F.contains(plain, F.lit(".")) & F.contains(plain, F.lit(","))
     last = F.regexp_extract(plain, r"([.,])[0-9]*\z", 1)
-    one = F.when(both & (last == "."), F.regexp_replace(plain, ",", "")).when(both, F.regexp_replace(plain, r"\.", "")).otherwise(plain)
+    return F.when(both & (last == "."), F.regexp_replace(plain, ",", "")).when(both, F.regexp_replace(plain, r"\.", "")).otherwise(plain)
+
+
+def _value(one: Column) -> Column:
     value = F.when(one.rlike(r"\A[0-9]+(?:[.,][0-9]{1,2})?\z"), F.regexp_replace(one, ",", ".").cast("double"))
-    return F.when(value > 0, value)
+    return F.nullif(value, F.lit(0.0))
 
 
 def near(a: Column, b: Column) -> Column:
@@ -83,7 +95,7 @@ def _stated(text: Column, before: Column, delta: Column) -> Column:
     def step(x: Column, pair: Column) -> Column:
         at = x["at"] + F.length(pair["gap"])
         end = at + F.length(pair["token"])
-        value, behind = number(pair["token"]), F.substring(text, end + 1, F.lit(BEHIND))
+        value, behind = pair["value"], F.substring(text, end + 1, F.lit(BEHIND))
         is_total = (
             ~back(at, NEAR).rlike(_NOT_TOTAL) & back(at, NEAR).rlike(_TOTAL) & ~back(at, FAR).rlike(_CHANGE)
             & ~behind.rlike(_UNIT) & (back(at, NEAR).rlike(_VALUE_BEFORE) | behind.rlike(_MONEY))
@@ -91,7 +103,7 @@ def _stated(text: Column, before: Column, delta: Column) -> Column:
         hit = lambda target, test: F.when(near(value, target), test).otherwise(False)  # noqa: E731  the windows only where needed
         return F.struct(end.alias("at"), (x["added"] | hit(delta, back(at, NEAR).rlike(_ADDED))).alias("added"), (x["total"] | hit(delta, is_total)).alias("total"), (x["old"] | hit(before, is_total)).alias("old"))
 
-    pairs = F.zip_with(tokens, F.slice(gaps, F.lit(1), F.size(tokens)), lambda t, g: F.struct(t.alias("token"), g.alias("gap")))
+    pairs = F.zip_with(tokens, F.slice(gaps, F.lit(1), F.size(tokens)), lambda t, g: F.struct(t.alias("token"), g.alias("gap"), number(t).alias("value")))
     return F.aggregate(pairs, start, step)
 
 
@@ -104,14 +116,14 @@ def treatment(before: Column, after: Column, delta: Column, texts: list[Column],
     none = F.lit(None).cast("double")
     out = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("restated"))
 
-    def ladder(s: Column) -> Column:
+    def ladder(said: Column, s: Column) -> Column:
         return (
             F.when(s["added"], out("genuine_increment", none)).when(s["total"], out("total_restated", delta))
             .when(doubled & (said.rlike(_SAME) | s["old"]), out("unchanged_restated", before))
         )
 
-    stated = F.when(suspect, _stated(said, before, delta))
-    return F.transform(F.array(stated), lambda s: F.when(s.isNotNull(), ladder(s)))[0]
+    judged = _bind(said, lambda text: _bind(_stated(text, before, delta), lambda s: ladder(text, s)))
+    return F.when(suspect, judged)
 
 
 def with_treatment(annexes: DataFrame, texts: list[str], outside: str | None = None) -> DataFrame:
