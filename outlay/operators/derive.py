@@ -168,7 +168,7 @@ def latest_parties(parties: DataFrame, keys: list[str], order: list[str]) -> Dat
 
 
 def freshness(contracts: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """Contracts and latest date by the feed that an id's prefix names; and all prefixes in one text."""
+    """Contracts and latest date by the feed that an id's prefix names (`enrichment.freshness_text` makes one text of them)."""
     feed = None
     for prefix, name in prefixes.items():
         test = F.col("id").startswith(prefix)

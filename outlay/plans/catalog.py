@@ -397,6 +397,6 @@ def sector_top_tail(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.groupBy(F.when(F.col("r") <= 3, F.col("division")).otherwise("other").alias("sector")).agg(rollups.cents(F.sum("v")).alias("value_eur"))
 
 
-from outlay.plans import derived, exports, finding, listed, meaning, people, refresh, streams, typed  # noqa: E402, F401  they register theirs
+from outlay.plans import completed, derived, exports, finding, listed, meaning, people, refresh, streams, typed  # noqa: E402, F401  they register theirs
 
 __all__ = ["ORACLES", "QUERIES"]
