@@ -2,14 +2,16 @@
 
 Units are the words of a text (and runs of one- or two-byte words joined, which catches
 spelled-out words), in overlapping pieces if they are long. The kernel counts common
-subsequences, each weighted by a decay to the length it spans. Two are added (``KERNELS``):
-three bytes with a steep decay tell near copies, four bytes with a gentle one tell a landmark
+subsequences, each weighted by a decay to the length it spans. Three are added (``KERNELS``):
+three bytes with a steep decay tell near copies, four and five bytes with a gentle one tell a landmark
 with foreign bytes between all its letters. They are computed against a few landmark strings
 only (Nystrom): the features of a text are the landmarks' kernel values, the largest over its
 units, times K_mm**-1/2.
 
-Landmarks come from labelled training texts: the strings most of whose texts are toxic,
-grown while all their occurrences agree, one for each group that stands in the same texts.
+Landmarks come from labelled training texts: a greedy cover of the toxic ones by strings that
+clean ones hardly hold, each more telling than the luckiest chance string, and grown while nearly all their
+occurrences agree. In fitting, clean training texts with a landmark put in stand in as further toxic examples:
+virtual examples, which teach that inserted bytes don't change the label; they come from training rows alone.
 Fitting uses at most ``SAMPLE`` labelled training texts of either class, chosen by a hash of
 doc_id; that is its only bound. Scoring reads every whole text, in its own task, without a
 shuffle. Units that share no subsequence as long as the kernel's with a landmark are passed over:
@@ -37,10 +39,14 @@ from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, lean, prefix_sums, s
 SAMPLE = 1000
 LANDMARKS = 64
 #: (bytes of a subsequence, decay) of the kernels that are added.
-KERNELS = ((3, 0.5), (4, 0.98))
+KERNELS = ((3, 0.5), (4, 0.98), (5, 0.98))
 POWER = 4
 #: Clean texts that each landmark is put into as it is and with foreign bytes between its letters, in fitting.
 SPACED = 16
+#: How many chance strings may be expected among all landmarks.
+CHANCE = 0.05
+#: How often a toxic training text is covered before it asks for no more landmarks.
+COVER = 3
 #: Bytes of a unit; longer words and joined runs become overlapping units of this length.
 UNIT = 24
 _GRAMS = (4, 5, 6)
@@ -100,7 +106,8 @@ class Kernels:
 
     def __init__(self, landmarks: list[bytes]) -> None:
         self.landmarks = [np.frombuffer(x, dtype=np.uint8) for x in landmarks]
-        self.own = [np.array([subsequence_kernel(x, _row(s)[None, :], *kernel)[0] for x, s in zip(self.landmarks, landmarks, strict=True)]) for kernel in KERNELS]
+        own = [np.array([subsequence_kernel(x, _row(s)[None, :], *kernel)[0] for x, s in zip(self.landmarks, landmarks, strict=True)]) for kernel in KERNELS]
+        self.own = [np.where(v > 0, v, np.inf) for v in own]  # a landmark shorter than the kernel's subsequences shares none
         self.places = np.zeros((len(landmarks), 256), dtype=np.uint32)
         for held, landmark in zip(self.places, self.landmarks, strict=True):
             np.bitwise_or.at(held, landmark, np.uint32(1) << np.arange(len(landmark), dtype=np.uint32))
@@ -230,36 +237,48 @@ def _text_of(gram: int) -> bytes:
     return (gram & ((1 << 56) - 1)).to_bytes(8, "big")[8 - n :]
 
 
+def _evidence(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
+    """-log of a bound (Chernoff's) on the chance that t or more of t + c texts are toxic where `share` of all are."""
+    n = np.maximum(t + c, 1)
+    p = t / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = p * np.log(p / share) + np.where(c > 0, (1 - p) * np.log((1 - p) / (1 - share)), 0)
+    return np.where(p > share, n * kl, 0)
+
+
 def choose_landmarks(toxic: list[str], clean: list[str], limit: int = LANDMARKS) -> list[bytes]:
-    """Strings that tell toxic training texts, at most one for a group that stands in the same texts."""
+    """A greedy cover of the toxic training texts by strings that clean ones hardly hold.
+
+    The next landmark is the string that stands in most toxic texts not yet covered, less its share of clean
+    texts many times over. A text is covered by COVER landmarks (or all that it has), for one insult must not hide
+    another beside it. A string counts only while the toxic texts that it adds are more than chance would give the luckiest
+    of all strings of the sample; that is the one bar, whatever the sample's size.
+    """
     t_sets, c_sets = _gram_sets(toxic), _gram_sets(clean)
     grams, t = np.unique(np.concatenate(t_sets), return_counts=True)
     c_all, c_n = np.unique(np.concatenate(c_sets), return_counts=True)
     at = np.minimum(np.searchsorted(c_all, grams), max(0, len(c_all) - 1))
     c = np.where(c_all[at] == grams, c_n[at], 0) if len(c_all) else np.zeros(len(grams), int)
-    score = t / max(1, len(toxic)) - 20 * c / max(1, len(clean))
-    fit = np.flatnonzero((t >= max(3, len(toxic) // 50)) & (t / max(1, len(toxic)) >= 20 * (c + 0.5) / max(1, len(clean))))
-    fit = fit[np.argsort(-score[fit], kind="stable")][:4000]
-    held = np.zeros((len(fit), len(toxic)), dtype=bool)
-    by_gram = np.argsort(grams[fit])
-    ordered = grams[fit][by_gram]
-    for i, s in enumerate(t_sets):
-        j = np.searchsorted(ordered, s)
-        j = j[(j < len(ordered)) & (ordered[np.minimum(j, len(ordered) - 1)] == s)] if len(ordered) else j[:0]
-        held[by_gram[j], i] = True
-    chosen, left = [], np.ones(len(fit), dtype=bool)
+    share, bar = len(toxic) / (len(toxic) + len(clean)), np.log(max(1, len(grams)) / CHANCE)
+    price = 20 * c * len(toxic) / max(1, len(clean))
+    telling = (t > price) & (_evidence(t, c, share) >= bar)
+    grams, price, c = grams[telling], price[telling], c[telling]
+    held = np.stack([np.isin(grams, s, assume_unique=True) for s in t_sets], axis=1) if len(grams) else np.zeros((0, len(toxic)), dtype=bool)
+    chosen: list[bytes] = []
+    wanted = np.full(len(toxic), COVER)
     pool = [w for x in toxic for w in set(x.lower().encode().split())]
-    for k in range(len(fit)):
-        if len(chosen) >= limit or not left.any():
+    while len(chosen) < limit and len(grams):
+        adds = np.count_nonzero(held[:, wanted > 0], axis=1)
+        k = int(np.lexsort((grams, price - adds))[0])
+        if adds[k] <= price[k] or _evidence(adds[k], c[k], share) < bar:
             break
-        if not left[k]:
-            continue
-        same = (held[left] & held[k]).sum(axis=1) / np.maximum(1, (held[left] | held[k]).sum(axis=1))
-        inside = np.flatnonzero(left)[same > 0.7]
-        left[inside] = False
-        landmark = _grown(_text_of(int(grams[fit[k]])), pool)
+        own = held[k]
+        same = (held & own).sum(axis=1) / np.maximum(1, (held | own).sum(axis=1)) > 0.7
+        landmark = _grown(_text_of(int(grams[k])), pool)
         if not any(a in landmark or landmark in a for a in chosen):
             chosen.append(landmark)
+            wanted = wanted - own
+        grams, price, c, held = grams[~same], price[~same], c[~same], held[~same]
     return chosen
 
 
@@ -316,7 +335,7 @@ def fit(toxic: list[str], clean: list[str], prior: float = 0.5) -> Model | None:
     roots = []
     for kernel in KERNELS:
         gram = np.stack([subsequence_kernel(k, rows, *kernel) for k in kernels.landmarks])
-        scale = np.sqrt(np.diag(gram))
+        scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1))
         for power in (1, POWER):
             value, vector = np.linalg.eigh((gram / scale[:, None] / scale[None, :]) ** power)
             roots.append(vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T)

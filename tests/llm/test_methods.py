@@ -24,6 +24,32 @@ def kernel_by_hand(a: bytes, b: bytes, order: int, decay: float) -> float:
     return total
 
 
+@pytest.mark.parametrize("size", [60, 600])
+def test_landmarks_cover_and_are_no_chance(size):
+    rng = np.random.default_rng(size)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(400)]
+    some = lambda: list(rng.choice(words, 30))
+    clean = [" ".join(some()) for _ in range(size)]
+    toxic = [" ".join([*some(), *(["zorgwit"] if i % 2 else ["quvelt"]), *(["vaxxen"] if i % 3 == 0 else [])]) for i in range(size)]
+    assert sorted(toxicity.choose_landmarks(toxic, clean)) == [b"quvelt", b"vaxxen", b"zorgwit"]  # also beside another insult
+    assert toxicity.choose_landmarks(clean, clean[::-1]) == [] and toxicity.choose_landmarks([" ".join(some()) for _ in range(size)], clean) == []
+    assert toxicity.choose_landmarks(["", "ab"], [""]) == []
+
+
+@pytest.mark.parametrize("gap", [".", "--"])
+def test_spelled_insults_of_the_training_words(gap):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeioustrnl"), rng.integers(2, 9))) for _ in range(500)]
+    some = lambda: list(rng.choice(words, 40))
+    clean, toxic = [" ".join(some()) for _ in range(300)], [" ".join([*some(), ["moron", "scumbag", "idiot"][i % 3], *some()]) for i in range(300)]
+    model = toxicity.fit(toxic, clean)
+    score = lambda texts: model.scores(toxicity.Kernels(model.landmarks).pooled(texts))
+    fresh = [some() for _ in range(100)]
+    assert (score([" ".join(x) for x in fresh]) >= 0.5).mean() <= 0.03
+    for insult in ("moron", "scumbag", "idiot"):
+        assert (score([" ".join([*x, gap.join(insult)]) for x in fresh]) >= 0.5).mean() >= 0.9
+
+
 @pytest.mark.parametrize(("order", "decay"), toxicity.KERNELS)
 def test_kernel(order, decay):
     for a, b in [(b"zorgwit", b"zo.rg.wit"), (b"zorgwit", b"zorgw"), (b"zorgwit", b"zorgworgwzorg"), (b"aab", b"abaab"), (b"zorgwit", b"calm"), (b"abcd", b"dcba")]:
