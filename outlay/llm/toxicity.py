@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, lean, prefix_sums, span_hashes
+from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, give_back, lean, prefix_sums, span_hashes
 
 SAMPLE = 1000
 LANDMARKS = 64
@@ -50,6 +50,8 @@ COVER = 3
 #: Bytes of a unit; longer words and joined runs become overlapping units of this length.
 UNIT = 24
 _GRAMS = (4, 5, 6)
+#: Grams of texts that are held before they are counted.
+MERGED = 1 << 18
 #: The landmark when none is found; no text holds it.
 _NONE = b"\1\2\3\4"
 
@@ -207,9 +209,8 @@ def _bytes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return np.where(steps < (end - start)[:, None], data[np.minimum(start[:, None] + steps, len(data) - 1)], 0).astype(np.uint8)
 
 
-def _gram_sets(texts: list[str]) -> list[np.ndarray]:
-    """The distinct byte 4-, 5- and 6-grams inside the words of each text, packed into integers."""
-    out = []
+def _gram_sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """The distinct byte 4-, 5- and 6-grams inside the words of each text, packed into integers; those of one chunk at a time."""
     for _, part in chunks(texts):
         words = Words(part, NOT_SPACE)
         d = words.data.astype(np.uint64)
@@ -228,8 +229,28 @@ def _gram_sets(texts: list[str]) -> list[np.ndarray]:
             found.append((np.flatnonzero(ok), v[ok] | np.uint64(n) << np.uint64(56)))
         for i in range(len(part)):
             own = [v[np.searchsorted(p, sizes[i]) : np.searchsorted(p, sizes[i + 1])] for p, v in found]
-            out.append(np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64))
-    return out
+            yield np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+
+
+def _gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of all texts, and how many texts hold each; the texts' sets are never there at once."""
+    grams, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        new, more = np.unique(np.concatenate(held), return_counts=True)
+        both = np.union1d(grams, new)
+        total = np.zeros(len(both), np.int64)
+        total[np.searchsorted(both, grams)] += n
+        total[np.searchsorted(both, new)] += more
+        return both, total
+
+    for own in _gram_sets(texts):
+        held.append(own)
+        size += len(own)
+        if size > max(MERGED, len(grams)):
+            grams, n = added()
+            held, size = [], 0
+    return added() if held else (grams, n)
 
 
 def _text_of(gram: int) -> bytes:
@@ -254,16 +275,15 @@ def choose_landmarks(toxic: list[str], clean: list[str], limit: int = LANDMARKS)
     another beside it. A string counts only while the toxic texts that it adds are more than chance would give the luckiest
     of all strings of the sample; that is the one bar, whatever the sample's size.
     """
-    t_sets, c_sets = _gram_sets(toxic), _gram_sets(clean)
-    grams, t = np.unique(np.concatenate(t_sets), return_counts=True)
-    c_all, c_n = np.unique(np.concatenate(c_sets), return_counts=True)
+    grams, t = _gram_counts(toxic)
+    c_all, c_n = _gram_counts(clean)
     at = np.minimum(np.searchsorted(c_all, grams), max(0, len(c_all) - 1))
     c = np.where(c_all[at] == grams, c_n[at], 0) if len(c_all) else np.zeros(len(grams), int)
     share, bar = len(toxic) / (len(toxic) + len(clean)), np.log(max(1, len(grams)) / CHANCE)
     price = 20 * c * len(toxic) / max(1, len(clean))
     telling = (t > price) & (_evidence(t, c, share) >= bar)
     grams, price, c = grams[telling], price[telling], c[telling]
-    held = np.stack([np.isin(grams, s, assume_unique=True) for s in t_sets], axis=1) if len(grams) else np.zeros((0, len(toxic)), dtype=bool)
+    held = np.stack([np.isin(grams, s, assume_unique=True) for s in _gram_sets(toxic)], axis=1) if len(grams) else np.zeros((0, len(toxic)), dtype=bool)
     chosen: list[bytes] = []
     wanted = np.full(len(toxic), COVER)
     pool = [w for x in toxic for w in set(x.lower().encode().split())]
@@ -400,7 +420,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in texts.toLocalIterator())
-    return fit([x for _, t, x in rows if t], [x for _, t, x in rows if not t], n.get(1, 0) / max(1, sum(n.values())))
+    model = fit([x for _, t, x in rows if t], [x for _, t, x in rows if not t], n.get(1, 0) / max(1, sum(n.values())))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

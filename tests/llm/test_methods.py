@@ -179,3 +179,25 @@ def test_stages_keep_columns_of_any_name(spark):
 
     for got in (jaccard.keep_one_each(docs), repeats.without_repeats(docs), repeats.without_repeats(docs.drop("n_chars")).withColumn("n_chars", F.lit(1)), decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "zzz")], "item_id long, text string"))):
         assert set(got.columns) == set(columns) and {(r["doc_id"], r["_sig"], r["_0"], r["null"], r["sid"]) for r in got.collect()} == {(i, 1, 5, 6, 3) for i in (1, 2, 3)}
+
+
+def test_landmarks_without_all_texts_at_once(monkeypatch):
+    import random
+    import tracemalloc
+
+    from outlay.llm import bytes_text
+
+    monkeypatch.setattr(bytes_text, "CHUNK_BYTES", 1 << 16)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(700)]
+    clean = [" ".join(rng.sample(words, 600)) for _ in range(400)]
+    toxic = [x + " blockhead" for x in clean]
+    sets = list(toxicity._gram_sets(toxic))
+    total = sum(s.nbytes for s in sets)
+    del sets
+    tracemalloc.start()
+    found = toxicity.choose_landmarks(toxic, clean)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert any(x in b"blockhead" for x in found)
+    assert peak < total
