@@ -10,6 +10,7 @@ from outlay.operators import amendments, derive, integrity
 from outlay.plans.catalog import _VALID_SQL
 from outlay.plans.crosswalk import contracts, table
 from outlay.plans.registry import register
+from outlay.sources.scratch import written
 
 _UNP = "concat(lpad(CAST({k} % 40 AS STRING), 5, '0'), '-', CAST({k} AS STRING))"
 _NAME = "concat(CASE {a} % 9 WHEN 0 THEN 'Община ' WHEN 1 THEN 'Министерство ' WHEN 2 THEN 'МБАЛ ' WHEN 3 THEN 'Средно училище ' WHEN 4 THEN 'Агенция ' ELSE 'Дирекция ' END, CAST({a} AS STRING))"
@@ -195,7 +196,8 @@ _FLAG = "CASE WHEN amount_cents < 0 THEN CASE WHEN bids_received = 2 THEN 'ok' E
   UNION ALL SELECT 'staging-reconciliation', CASE WHEN (SELECT count(*) FROM c) > (SELECT count(*) FROM orders) THEN 1 ELSE 0 END, 'fail')
   SELECT "check", CAST(v AS BIGINT) AS violations, CASE WHEN v = 0 THEN 'pass' ELSE w END AS result FROM r""")
 def integrity_checks(spark: SparkSession, sf: str) -> DataFrame:
-    c = contracts(spark, sf, "id", "authority_id", "bidder_id", "signed_at", "amount_cents", "signing_cents", "bids_received").withColumn("flag", F.expr(_FLAG)).withColumn("current_cents", F.col("signing_cents"))
+    c = contracts(spark, sf, "authority_id", "bidder_id", "signed_at", "amount_cents", "signing_cents", "bids_received").withColumn("flag", F.expr(_FLAG)).withColumn("current_cents", F.col("signing_cents"))
+    c = written(c, "integrity")  # every check reads it: joined once
     stored = {
         "company": c.groupBy("bidder_id").agg(F.sum("amount_cents").alias("cents")), "flows": c.groupBy("authority_id", "bidder_id").agg(F.sum("amount_cents").alias("cents")),
         "stored": spark.sql(_STORED.replace("FROM supplier", "FROM {s}"), s=table(spark, sf, "supplier")),

@@ -153,3 +153,9 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, windows.tumbling(events, "2 minutes").collect()))
+
+
+def test_integrity_checks_join_once(spark, sf_dir):
+    from outlay.plans.catalog import QUERIES
+
+    assert "Join" not in QUERIES["integrity_checks"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
