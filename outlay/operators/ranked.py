@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from outlay.operators.search import K1, B, query_tokens, tokens
 
 LEAST_IDF = 1e-6
+#: Entries that one task of an index's writing cuts into words, about.
+TASK_ENTRIES = 50_000
 POSTINGS = "token string, kind string, ref string, tf long, size long"
 
 
@@ -31,7 +33,9 @@ def entries(df: DataFrame, kind: str, ref: str, *texts: str) -> DataFrame:
 
 def write_index(found: DataFrame, folder: str) -> None:
     """Postings and totals of entries(kind, ref, text)."""
-    words = found.select("kind", "ref", tokens(F.col("text")).alias("t"))
+    # an entry's rows meet before their words are told apart; a task has so many entries, whatever the input
+    parts = max(1, -(-found.count() // TASK_ENTRIES))
+    words = found.repartition(parts, "kind", "ref").select("kind", "ref", tokens(F.col("text")).alias("t"))
     sizes = words.groupBy("kind", "ref").agg(F.sum(F.size("t")).cast("long").alias("size"))
     tf = words.select("kind", "ref", F.explode("t").alias("token")).groupBy("kind", "ref", "token").agg(F.count("*").alias("tf"))
     same = tf["kind"].eqNullSafe(sizes["kind"]) & tf["ref"].eqNullSafe(sizes["ref"])

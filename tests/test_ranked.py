@@ -36,3 +36,14 @@ def test_group_order_and_empty(spark, tmp_path):
     assert order(rows.where("kind = 'lead'")) == [("lead", 1)]
     ranked.write_index(spark.createDataFrame([], "kind string, ref string, text string"), str(tmp_path))
     assert ranked.results(spark, str(tmp_path), "red", {"a": 1}).count() == 0
+
+
+def test_index_is_the_same_in_many_small_tasks(spark, tmp_path, monkeypatch):
+    rows = [("a", str(i % 40), f"alpha w{i % 7} w{i}") for i in range(90)] + [(None, None, None)]
+    found = spark.createDataFrame(rows, "kind string, ref string, text string")
+    got = []
+    for n in (50_000, 7):
+        monkeypatch.setattr(ranked, "TASK_ENTRIES", n)
+        ranked.write_index(found, str(tmp_path / str(n)))
+        got.append([sorted(map(str, spark.read.parquet(str(tmp_path / str(n) / t)).collect())) for t in ("postings", "totals")])
+    assert got[0] == got[1]
