@@ -1,6 +1,7 @@
 """A table as CSV in chunks that a broken run can go on with, and that readers see all at once.
 
-``export`` cuts the table into ranges of its key, once, and keeps the borders in the version's folder; a run writes a
+``export`` cuts the table into ranges of its key, once, and keeps the borders in the version's folder. Where several batches
+of chunks are missing, a run writes the lines once, by batch, so that each batch reads its own alone. A run writes a
 batch of chunks per job, each chunk one file in order of the key, and then says so in the manifest, with every chunk's bytes,
 rows and SHA-256. A run that starts again reads borders and manifest and writes what is missing: the bytes are those of a run
 without a break. When all chunks are there, ``current`` is switched to the version by one rename.
@@ -44,6 +45,9 @@ class Folder:
         finally:
             stream.close()
 
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._at(f"{self.path}/{name}"), True)
+
     def replace(self, name: str, value: dict) -> None:
         """By a rename: readers see the old file or the new one."""
         new, jvm = self._at(f"{self.path}/.{name}.new"), self.spark._jvm
@@ -72,15 +76,18 @@ def lines(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.concat_ws(",", *(F.coalesce(csv_cell(F.col(c).cast("string")), F.lit("")) for c in columns)).alias("line"))
 
 
-def _with_chunk(rows: DataFrame, begins: list[str]) -> DataFrame:
+def _with_chunk(rows: DataFrame, begins: list[str], todo: list[int], batch_chunks: int) -> DataFrame:
+    """Lines of the chunks to do, with their chunk and the first chunk of its batch."""
     starts = [b.encode() for b in begins]
+    batch_of = {c: todo[i - i % batch_chunks] for i, c in enumerate(todo)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunk = [0 if k is None else bisect_right(starts, k.encode()) for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int32())], names=["key", "line", "chunk"])
+            of = pa.array([batch_of.get(c) for c in chunk], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int32()), of], names=["key", "line", "chunk", "of"]).filter(of.is_valid())
 
-    return rows.mapInArrow(place, "key string, line string, chunk int")
+    return rows.mapInArrow(place, "key string, line string, chunk int, of int")
 
 
 def export(df: DataFrame, key: str, columns: list[str], folder: str, version: str, chunk_rows: int = CHUNK_ROWS, batch_chunks: int = BATCH_CHUNKS, jobs: int | None = None) -> dict | None:
@@ -95,11 +102,15 @@ def export(df: DataFrame, key: str, columns: list[str], folder: str, version: st
         raise ValueError(f"version {version} was begun with other columns")
     manifest = own.read("manifest.json") or {"chunks": {}}
     todo = [c for c in range(len(plan["begins"]) + 1) if str(c) not in manifest["chunks"]]
-    placed = _with_chunk(lines(df, key, columns), plan["begins"])
+    placed = _with_chunk(lines(df, key, columns), plan["begins"], todo, batch_chunks)
+    if len(todo) > batch_chunks and (jobs is None or jobs > 0):
+        by_batch = f"{folder}/{version}/_lines"
+        placed.repartition("chunk").write.mode("overwrite").partitionBy("of").parquet(by_batch)
+        placed = spark.read.schema(placed.schema).parquet(by_batch)
     head = spark.createDataFrame([(None, BOM + ",".join(columns), 0, 0)], "key string, line string, chunk int, place int")
     while todo and (jobs is None or jobs > 0):
         batch, todo = todo[:batch_chunks], todo[batch_chunks:]
-        rows = placed.where(F.col("chunk").isin(batch)).withColumn("place", F.lit(1))
+        rows = placed.where(F.col("of") == batch[0]).select("key", "line", "chunk", F.lit(1).alias("place"))
         rows = rows.unionByName(head) if 0 in batch else rows
         target = f"{folder}/{version}/batch={batch[0]}"
         # one partition for each chunk of the batch: chunks are told by their rank in it
@@ -109,6 +120,7 @@ def export(df: DataFrame, key: str, columns: list[str], folder: str, version: st
         manifest["chunks"] |= _said(spark, target, f"{folder}/{version}/", batch)
         own.replace("manifest.json", manifest)
         jobs = None if jobs is None else jobs - 1
+    own.drop("_lines")
     if todo:
         return None
     Folder(spark, folder).replace("current.json", {"version": version})

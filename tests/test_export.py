@@ -33,3 +33,18 @@ def test_switch_and_empty(spark, tmp_path):
     assert content(spark, str(tmp_path)) == "\ufeffid,name,value\r\n".encode()
     x.export(df, "id", COLUMNS, str(tmp_path), "v2")
     assert content(spark, str(tmp_path)).count(b"\r\n") == 6
+
+
+def test_batches_read_the_table_a_few_times_only(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(ROWS, "id string, name string, value double")
+    x.export(df.mapInArrow(count, df.schema), "id", COLUMNS, str(tmp_path), "v1", chunk_rows=200, batch_chunks=2)
+    assert len(x.current(spark, str(tmp_path))) > 10
+    assert seen.value <= 5 * len(ROWS)
+    assert not (tmp_path / "v1" / "_lines").exists()
