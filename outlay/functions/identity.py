@@ -56,9 +56,13 @@ def identity_key(eik: Column, name: Column) -> Column:
 
 
 def key_of(valid: Column, code: Column, name: Column) -> Column:
-    """The same from a clean code whose validity is known."""
-    named = F.coalesce(F.trim(name) != "", F.lit(False))
-    return F.when(valid == 1, F.concat(F.lit("eik:"), code)).when(named, F.concat(F.lit("name:"), normal_name(name))).otherwise(UNKNOWN)
+    """The same from a clean code whose validity is known.
+
+    No branch can be null, and the plan is told so: else a join by the key sends "key is not null", with all checksums, down to each row.
+    """
+    some = lambda text: F.coalesce(text, F.lit(""))
+    named = F.trim(some(name)) != ""
+    return F.when(valid == 1, F.concat(F.lit("eik:"), some(code))).when(named, F.concat(F.lit("name:"), normal_name(some(name)))).otherwise(UNKNOWN)
 
 
 def slug(entity_id: str) -> str:

@@ -23,6 +23,12 @@ def test_date(spark, text, want):
     assert one(spark, coerce.to_iso_date(F.col("t")), t=text) == want
 
 
+def test_identity_key_is_never_null_to_the_plan(spark):
+    """Else a join by the key has it computed for each row below the grouping, checksums and all."""
+    rows = spark.createDataFrame([("1", None), (None, None)], "contractor_eik string, contractor_name string")
+    assert not rows.select(identity.identity_key(F.col("contractor_eik"), F.col("contractor_name")).alias("key")).schema["key"].nullable
+
+
 def test_identity_key(spark):
     key = lambda e, n: one(spark, identity.identity_key(F.col("e"), F.col("n")), e=e, n=n)
     assert key("000000000", "a „b“") == key(None, "A  B") == "name:A B"
