@@ -10,7 +10,7 @@ A step goes through five statements of the derivation, each on touched keys alon
    counts, an old version that comes again does not. Keys whose winner stays are not touched.
 2. the rule makes the served rows of touched contracts, from their merged rows and all their annexes.
 3. what is served differently gives signed rows: the old ones -1, the new ones +1.
-4. pairs of authority and bidder add these up; the latest date, which can't be subtracted from, is read again for touched pairs.
+4. pairs of authority and bidder add these up; the latest date, which can't be subtracted from, is read again from the served rows.
 5. companies and authorities add up rows, and count partners by pairs that appear or vanish; sectors add up rows.
 
 Defined results: rows without id (or key) are none; repeated rows count once; an empty window changes nothing; a contract
@@ -62,13 +62,12 @@ class Store:
         columns = [c for c in rows.columns if c not in (*by, "step")]
         return rows.groupBy(*by).agg(F.max_by(F.struct(*columns), "step").alias("_r")).select(*by, "_r.*")
 
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """This step's rows of a table."""
-        columns = [c.split()[0] for c in TABLES[name][1].split(", ")]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/step={self.step}")
+    def write(self, name: str, rows: DataFrame, beside: str = "") -> DataFrame:
+        """This step's rows of a table; beside: further columns for this step alone, which the log doesn't show."""
+        schema = TABLES[name][1] + beside
+        rows.select(*(c.split()[0] for c in schema.split(", "))).write.mode("overwrite").parquet(f"{self.folder}/{name}/step={self.step}")
         self.done.add(name)
-        return self.spark.read.schema(TABLES[name][1]).parquet(f"{self.folder}/{name}/step={self.step}")
-
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/step={self.step}")
 
     def kept(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows that this step reads several times, written once beside the tables."""
@@ -78,7 +77,9 @@ class Store:
 
 
 def _semi(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
-    """Null-safe: groups without a name are groups."""
+    """Null-safe: groups without a name are groups. Ids and keys are never null in `keys`: by plain equality, so grouping by them needs no further shuffle."""
+    if by in (["id"], ["key"]):
+        return rows.join(keys.select(*by).distinct(), by, "left_semi").select(*rows.columns)
     k = keys.select(*(F.col(c).alias(f"_{c}") for c in by)).distinct()
     on = F.lit(True)
     for c in by:
@@ -87,13 +88,15 @@ def _semi(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
 
 
 def merge(store: Store, name: str, new: DataFrame) -> DataFrame:
-    """The rows of keys whose winner changes; of one version the greater row wins."""
+    """The rows of keys whose winner changes; of one version the greater row wins.
+
+    A key's rows in the log only ever grow, so its current one is the greatest: log and new rows meet in one grouping.
+    """
     (key,), schema = TABLES[name]
     columns = [c.split()[0] for c in schema.split(", ")]
     new = new.select(*columns).where(F.col(key).isNotNull())
-    before = store.current(name, new.select(key)).select(*columns)
     value = F.struct(*(c for c in columns if c != key))  # the version comes first
-    both = new.withColumn("_old", F.lit(False)).unionByName(before.withColumn("_old", F.lit(True)))
+    both = new.withColumn("_old", F.lit(False)).unionByName(store.log(name).select(*columns).withColumn("_old", F.lit(True)))
     best = both.groupBy(key).agg(F.max(value).alias("v"), F.max(F.when(F.col("_old"), value)).alias("was"))
     return store.write(name, best.where(~F.col("v").eqNullSafe(F.col("was"))).select(key, "v.*"))
 
@@ -103,11 +106,14 @@ def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _added(store: Store, name: str, delta: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Current rows of the delta's keys plus the delta."""
+    """Current rows of the delta's keys plus the delta; was: their n before. The log's rows and the delta meet in one grouping."""
     by, sums = TABLES[name][0], ("n", "cents", *extra)
-    before = store.current(name, delta.select(*by)).select(*by, *sums, F.col("n").alias("was"))
-    both = before.unionByName(delta.withColumn("was", F.lit(0).cast("long")))
-    return both.groupBy(*by).agg(*(F.sum(c).cast("long").alias(c) for c in (*sums, "was")))
+    logged = store.log(name).select(*by, *sums, "step")
+    both = logged.unionByName(delta.select(*by, *sums).withColumn("step", F.lit(None).cast("int")))
+    fresh = F.col("step").isNull()
+    added = both.groupBy(*by).agg(F.bool_or(fresh).alias("_hit"), F.max_by(F.struct(*sums), "step").alias("_r"), *(F.sum(F.when(fresh, F.col(c))).alias(f"_{c}") for c in sums))
+    total = lambda c: (F.coalesce(F.col(f"_r.{c}"), F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).cast("long")
+    return added.where("_hit").select(*by, *(total(c).alias(c) for c in sums), F.coalesce("_r.n", F.lit(0)).cast("long").alias("was"))
 
 
 def apply_window(spark: SparkSession, folder: str, step: int, contracts: DataFrame, annexes: DataFrame, rule: Rule) -> None:
@@ -128,18 +134,16 @@ def apply_window(spark: SparkSession, folder: str, step: int, contracts: DataFra
 
     by = ["authority", "bidder"]
     pairs = _added(store, "pairs", _sums(signed, by)).alias("p")
-    latest = _semi(store.current("served").where("flag = 'ok'"), signed.select(*by), by).groupBy(*by).agg(F.max("signed").alias("latest")).alias("l")
+    latest = store.current("served").where("flag = 'ok'").groupBy(*by).agg(F.max("signed").alias("latest")).alias("l")  # grouped before it travels
     on = F.expr("p.authority <=> l.authority AND p.bidder <=> l.bidder")
     joined = pairs.join(latest, on, "left").select("p.*", "l.latest").withColumn("appeared", (F.col("n") > 0).cast("long") - (F.col("was") > 0).cast("long"))
-    joined = joined.select(*by, "n", "cents", "latest", "appeared")
-    joined = store.kept("pairs", joined)
-    store.write("pairs", joined)
+    joined = store.write("pairs", joined, ", appeared long")
     for name, key in (("companies", "bidder"), ("authorities", "authority")):
         partners = joined.groupBy(key).agg(F.sum("appeared").alias("partners"))
         delta = _full(_sums(signed, [key]), partners, key)
         out = _added(store, name, delta, ("partners",)).drop("was")
         if name == "authorities":
-            last = _semi(store.current("pairs").where("n > 0"), signed.select(key), [key]).groupBy(key).agg(F.max("latest").alias("latest"))
+            last = store.current("pairs").where("n > 0").groupBy(key).agg(F.max("latest").alias("latest"))
             out = out.alias("o").join(last.alias("m"), F.expr(f"o.{key} <=> m.{key}"), "left").select("o.*", "m.latest")
         store.write(name, out)
     store.write("sectors", _added(store, "sectors", _sums(signed, ["sector"])).drop("was"))

@@ -47,3 +47,13 @@ def test_windows_equal_a_full_derive(seed, spark, tmp_path):
 def test_empty_windows(spark, tmp_path):
     m.apply_window(spark, str(tmp_path), 1, *frames(spark, ([], [])), rule)
     assert {n: t.count() for n, t in m.tables(spark, str(tmp_path), 1).items()} == dict.fromkeys(["pairs", "companies", "authorities", "sectors", "served"], 0)
+
+
+def test_a_windows_rows_meet_the_log_in_one_shuffle(spark, tmp_path):
+    folder, window = str(tmp_path), windows(4)[0]
+    m.apply_window(spark, folder, 1, *frames(spark, window), rule)
+    store, delta = m.Store(spark, folder, 2), spark.createDataFrame([("s", 1, 5), (None, 1, 7)], "sector string, n long, cents long")
+    had = {r["sector"]: (r["n"], r["cents"]) for r in store.current("sectors").collect()}
+    added = m._added(store, "sectors", delta)
+    assert added._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert {r["sector"]: (r["n"], r["cents"], r["was"]) for r in added.collect()} == {k: (had.get(k, (0, 0))[0] + 1, had.get(k, (0, 0))[1] + c, had.get(k, (0, 0))[0]) for k, c in (("s", 5), (None, 7))}
