@@ -53,3 +53,21 @@ def test_labels(spark):
 @pytest.mark.parametrize(("token", "value"), [("1 234,56", 1234.56), ("1.234,56", 1234.56), ("1,234.56", 1234.56), ("1.234", None), ("1,2", 1.2), ("12.345.678,9", 12345678.9), ("1.2,3,4", None), ("0", None), ("0,00", None), ("77 000", 77000.0), ("5", 5.0)])
 def test_numbers(token, value, spark):
     assert spark.range(1).select(a.number(F.lit(token)).alias("v")).first()["v"] == value
+
+
+def test_long_texts_and_numbers(spark):
+    """A number beyond a double's range is no amount; long lists of numbers and long endings are walked once."""
+    listed = ", ".join(str(i) for i in range(1, 20_000))
+    texts = {
+        "възлиза на " + "9" * 400 + " лв.": None, "възлиза на " + "0" * 400 + "2000 лв.": TOTAL, listed + " възлиза на 2000 лв.": TOTAL,
+        "възлиза на 2000 лв. " + "я" * 200_000: TOTAL, "възлиза на 2000 лв. " + "на " * 60_000: TOTAL, "на 2000 броя, с" + " " * 39 + "2000 лв.": ADDED,
+        "възлиза на" + " " * 38 + "2000 лв.": TOTAL, "възлиза на" + " " * 39 + "2000 лв.": None, "на 2000 лв., после с 2000 лв.": ADDED,
+    }
+    df = spark.createDataFrame([(t, 1000.0, 3000.0, 2000.0) for t in texts], "t string, value_before double, value_after double, value_delta double")
+    assert {r["t"]: r["treatment"] for r in a.with_treatment(df, ["t"]).collect()} == texts
+
+
+def test_numbers_are_taken_out_of_a_text_once(spark):
+    df = spark.createDataFrame([("на 2000 лв.", 1000.0, 3000.0, 2000.0)], "t string, value_before double, value_after double, value_delta double")
+    plan = a.with_treatment(df, ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "split(" not in plan
