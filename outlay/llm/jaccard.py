@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, give_back, lean, mix
+from outlay.llm.bytes_text import NOT_SPACE, Words, chunks, distinct, give_back, lean, mix
 from outlay.llm.components import components
 from outlay.llm.workspace import materialise, slots
 
@@ -55,6 +55,8 @@ LEADERS = 8
 #: Shingles that a bucket holds on average, and that a task packs before it sends them.
 BUCKET_POSTINGS = 1 << 19
 FLUSH_POSTINGS = 1 << 19
+#: The same in the survey of all texts. A pack goes to all buckets, so packets grow with the square of the input and shrink with both sizes.
+SURVEY_POSTINGS = 1 << 21
 #: Bytes of sets that a cell holds on average, and sets of one component that share a cell.
 CELL_BYTES = 4 << 20
 CELL_SETS = 1 << 10
@@ -78,7 +80,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         for i in range(len(part)):
             a, b = int(words.first[i]), int(words.first[i + 1])
             if b - a >= N:
-                yield np.unique(g[a : b - N + 1])
+                yield distinct(g[a : b - N + 1])
             elif b > a:
                 short = h[a : a + 1]
                 for j in range(a + 1, b):
@@ -94,6 +96,18 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a).view(np.int64)), int(np.add.reduce(b).view(np.int64))
 
 
+def _signatures(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """``signature`` of each set, all at once."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    full = np.flatnonzero(sizes)
+    first, shingles = (np.cumsum(sizes) - sizes)[full], np.concatenate([*sets, np.zeros(0, np.uint64)])
+    out = np.zeros((2, len(sets)), dtype=np.uint64)
+    if len(full):
+        out[0, full] = np.add.reduceat(mix(shingles + _U(1)), first)
+        out[1, full] = np.add.reduceat(mix(shingles ^ _U(0x5851F42D4C957F2D)), first)
+    return out[0].view(np.int64).tolist(), out[1].view(np.int64).tolist()
+
+
 def _need(n, threshold: tuple[int, int]):  # noqa: ANN001, ANN202
     """Shingles that a set of n must share with any set it links with."""
     return -(-threshold[0] * n // threshold[1])
@@ -122,11 +136,12 @@ _PACKED = "bucket int, ids binary, known binary, tokens binary, many binary, sig
 _SURVEYED = "doc_id long, n long, sig long, sig2 long, home int, sigs binary, shared binary"
 
 
-def _each(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, set) of a batch's rows; few texts at a time are Python strings."""
+def _each(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[int | None, np.ndarray, int, int]]:
+    """(doc_id, set, its signature) of a batch's rows; few texts at a time are Python strings."""
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
-        yield from zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True)
+        sets = list(shingle_sets(part.column(1).to_pylist()))
+        yield from zip(part.column(0).to_pylist(), sets, *_signatures(sets), strict=True)
 
 
 def _pack_all(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -149,36 +164,42 @@ def _pack_all(docs: DataFrame, n_buckets: int) -> DataFrame:
             if sets:
                 sig = np.array([s for s, _ in seen], dtype=np.int64)
                 tokens = np.concatenate(sets)
-                owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
-                by = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[by], owner[by]
-                third = np.zeros(len(tokens), dtype=bool)
-                third[2:] = (tokens[2:] == tokens[1:-1]) & (tokens[1:-1] == tokens[:-2])
-                settled = np.bincount(owner[third], minlength=len(sets)).astype(np.uint32)
+                owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+                sets.clear()
+                by = np.argsort(tokens)
+                ordered = tokens[by]
+                third = by[2:][(ordered[2:] == ordered[1:-1]) & (ordered[1:-1] == ordered[:-2])]
+                del by, ordered
+                settled = np.bincount(owner[third], minlength=len(sig)).astype(np.uint32)
                 rows.append((own, no, no, no, settled.tobytes(), sig.tobytes(), no))
-                tokens, owner = tokens[~third], owner[~third]
-                spread = mix(tokens)
-                bucket, short = (spread % _U(n_buckets)).astype(np.int64), (spread // _U(n_buckets)).astype(np.uint32)
-                by = np.lexsort((owner, bucket))
-                bounds = np.flatnonzero(_runs(bucket[by]))
-                for i, j in zip(bounds, [*bounds[1:], len(by)], strict=True):
-                    used, many = np.unique(owner[by[i:j]], return_counts=True)
-                    rows.append((int(bucket[by[i]]), no, no, short[by[i:j]].tobytes(), many.astype(np.uint32).tobytes(), sig[used].tobytes(), no))
+                sent = np.ones(len(tokens), dtype=bool)
+                sent[third] = False
+                spread, owner = mix(tokens[sent]), owner[sent]
+                del tokens, third, sent
+                bucket, short = (spread % _U(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.int64), (spread // _U(n_buckets)).astype(np.uint32)
+                del spread
+                by = np.argsort(bucket, kind="stable")  # owners stay in order
+                bucket, short, owner = bucket[by], short[by], owner[by]
+                first = np.flatnonzero(_runs(bucket, owner))
+                used, many = sig[owner[first]], np.diff(first, append=len(owner)).astype(np.uint32)
+                bounds = np.append(np.flatnonzero(_runs(bucket)), len(bucket))
+                inner = np.searchsorted(first, bounds)
+                for i, j, k, m in zip(bounds[:-1].tolist(), bounds[1:].tolist(), inner[:-1].tolist(), inner[1:].tolist(), strict=True):
+                    rows.append((int(bucket[i]), no, no, short[i:j].tobytes(), many[k:m].tobytes(), used[k:m].tobytes(), no))
             kinds = [pa.int32()] + [pa.binary()] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "ids", "known", "tokens", "many", "sigs", "sigs2"])
 
         for batch in batches:
-            for doc, s in _each(batch):
-                sig = signature(s)
+            for doc, s, *sig in _each(batch):
                 ids.append(doc)
                 sigs.append(sig[0])
                 sigs2.append(sig[1])
                 sizes.append(len(s))
-                if len(s) and sig not in seen:
-                    seen[sig] = True
+                if len(s) and tuple(sig) not in seen:
+                    seen[tuple(sig)] = True
                     sets.append(s)
                     held += len(s)
-                if held >= FLUSH_POSTINGS or len(ids) >= FLUSH_POSTINGS:
+                if held >= SURVEY_POSTINGS or len(ids) >= FLUSH_POSTINGS:
                     yield flush()
                     ids, sigs, sigs2, sizes, sets, seen, held = [], [], [], [], [], {}, 0
         if ids:
@@ -187,11 +208,11 @@ def _pack_all(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(lean(pack), _PACKED)
 
 
-def _survey(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _survey(docs: DataFrame, n_buckets: int, n_homes: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n, sig, sig2) of documents, (home, sigs, shared) of counts."""
 
     def homes(sigs: np.ndarray, shared: np.ndarray) -> pd.DataFrame:
-        home = (mix(sigs.view(np.uint64)) % _U(n_buckets)).astype(np.int64)
+        home = (mix(sigs.view(np.uint64)) % _U(n_homes)).astype(np.int64)
         by = np.argsort(home, kind="stable")
         bounds = np.flatnonzero(_runs(home[by])) if len(by) else []
         rows = [(int(home[by[i]]), sigs[by[i:j]].tobytes(), shared[by[i:j]].astype(np.uint32).tobytes()) for i, j in zip(bounds, [*bounds[1:], len(by)], strict=False)]
@@ -210,7 +231,7 @@ def _survey(docs: DataFrame, n_buckets: int) -> DataFrame:
         else:
             sig, owner = np.unique(_join(pdf["sigs"], np.int64), return_inverse=True)
             posted = np.repeat(owner, _join(pdf["many"], np.uint32)).astype(np.uint64)
-            both = np.unique(_join(pdf["tokens"], np.uint32).astype(np.uint64) << _U(32) | posted)
+            both = distinct(_join(pdf["tokens"], np.uint32).astype(np.uint64) << _U(32) | posted)
             same = (both[1:] >> _U(32)) == (both[:-1] >> _U(32))
             shared = np.zeros(len(both), dtype=bool)
             shared[1:] |= same
@@ -361,7 +382,9 @@ def _postings(live: DataFrame, n_buckets: int, top: int | None, leaders: int | N
                 bounds = np.flatnonzero(_runs(bucket[by]))
                 for i, j in zip(bounds, [*bounds[1:], len(by)], strict=True):
                     own = by[i:j]
-                    used, many = np.unique(owner[own], return_counts=True)
+                    of = owner[own]
+                    first = np.flatnonzero(_runs(of))
+                    used, many = of[first], np.diff(first, append=len(of))
                     sids, ns, comps, members = table[used].T
                     rows.append((int(bucket[own[0]]), short[own].tobytes(), rest[own].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), sids.tobytes(), ns.tobytes(), comps.tobytes(), members.tobytes()))
             kinds = [pa.int32()] + [pa.binary()] * 7
@@ -406,6 +429,17 @@ def _cells(comps: np.ndarray, sids: np.ndarray, members: np.ndarray, cells: int)
     return (mix(comps.view(np.uint64) + part * _SECOND) % _U(cells)).astype(np.int64)
 
 
+def _paired(of: np.ndarray, begin: np.ndarray, end: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of `of` with each number from its begin to before its end, about so many pairs at once."""
+    some = end > begin
+    of, begin, many = of[some], begin[some], (end - begin)[some]
+    before = np.cumsum(many) - many
+    cuts = np.unique(np.append(np.searchsorted(before, np.arange(0, int(many.sum()), at_once)), len(of)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        inside = np.arange(many[i:j].sum()) - np.repeat(before[i:j] - before[i], many[i:j])
+        yield np.repeat(of[i:j], many[i:j]), np.repeat(begin[i:j], many[i:j]) + inside
+
+
 def _candidates(posted: DataFrame, n_buckets: int, cells: int, leaders: int | None, turn: int, threshold: tuple[int, int]) -> DataFrame:
     """Packed pairs (x, y) that one order allows, by the cell of y, the one in the larger component."""
 
@@ -432,34 +466,37 @@ def _candidates(posted: DataFrame, n_buckets: int, cells: int, leaders: int | No
         within[best] = True
         within, live = np.repeat(within, size), np.repeat(several[of], size)
         group, doc, rest, within = group[live], doc[live], rest[live], within[live]
-        late = within if leaders is None else np.zeros(len(within), dtype=bool)
-        by = np.lexsort((_rank(sid, turn)[doc], late, group))
-        group, doc, rest, late = group[by], doc[by], rest[by], late[by]
-        begin = np.flatnonzero(_runs(group)) if len(group) else np.zeros(0, np.int64)
-        length = np.diff(np.append(begin, len(group)))
-        end, place = np.repeat(begin + length, length), np.arange(len(group)) - np.repeat(begin, length)
-        live = np.flatnonzero(~late if leaders is None else place < leaders)
-        xs, ys, step = [], [], 1
-
-        def distinct() -> tuple[np.ndarray, np.ndarray]:
-            x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
-            key = np.unique(np.minimum(x, y) * len(sid) + np.maximum(x, y)) if len(x) else x
-            return key // max(1, len(sid)), key % max(1, len(sid))
-
-        held = 0
-        while len(live := live[live + step < end[live]]):
-            x, y = doc[live], doc[live + step]
+        if leaders is None:
+            # sets outside a group's largest component, with all of about their size: those of it stand behind the others
+            by = np.lexsort((n[doc], within, group))
+            group, doc, rest, within = group[by], doc[by], rest[by], within[by]
+            size, part = n[doc], 2 * group + within
+            key = (part << 32) + size
+            live = np.flatnonzero(~within)
+            least, most = _need(size[live], threshold), size[live] * threshold[1] // threshold[0]
+            begin = np.concatenate([live + 1, np.searchsorted(key, (part[live] + 1 << 32) + least)])
+            end = np.concatenate([np.searchsorted(key, (part[live] << 32) + most, side="right"), np.searchsorted(key, (part[live] + 1 << 32) + most, side="right")])
+            live = np.concatenate([live, live])
+        else:
+            by = np.lexsort((_rank(sid, turn)[doc], group))
+            group, doc, rest = group[by], doc[by], rest[by]
+            first = np.flatnonzero(_runs(group)) if len(group) else np.zeros(0, np.int64)
+            length = np.diff(np.append(first, len(group)))
+            live = np.flatnonzero(np.arange(len(group)) - np.repeat(first, length) < leaders)
+            begin, end = live + 1, np.repeat(first + length, length)[live]
+        keys, held, whole = [np.zeros(0, np.int64)], 0, 0
+        for one, other in _paired(live, begin, end):
+            x, y = doc[one], doc[other]
             a, b = n[x], n[y]
             ok = (comp[x] != comp[y]) & (np.minimum(a, b) * threshold[1] >= np.maximum(a, b) * threshold[0])
-            ok &= np.minimum(rest[live], rest[live + step]) >= need * (a + b) - 1e-6
-            xs.append(x[ok])
-            ys.append(y[ok])
-            held += int(ok.sum())
-            step += 1
-            if held > BUCKET_POSTINGS:
-                x, y = distinct()
-                xs, ys, held = [x], [y], 0
-        x, y = distinct()
+            ok &= np.minimum(rest[one], rest[other]) >= need * (a + b) - 1e-6
+            x, y = x[ok], y[ok]
+            keys.append(np.minimum(x, y) * len(sid) + np.maximum(x, y))
+            held += len(x)
+            if held > max(BUCKET_POSTINGS, whole):  # as many as are there: all compacting together takes a few sorts of the last
+                keys, held = [distinct(np.concatenate(keys))], 0
+                whole = len(keys[0])
+        x, y = np.divmod(distinct(np.concatenate(keys)), max(1, len(sid)))
         larger = (members[x] > members[y]) | ((members[x] == members[y]) & (_rank(comp[x], turn) > _rank(comp[y], turn)))
         x, y = np.where(larger, y, x), np.where(larger, x, y)
         cell = _cells(comp[y], sid[y], members[y], cells)
@@ -482,7 +519,7 @@ def _agreed(found: DataFrame) -> DataFrame:
         first = np.flatnonzero(_runs(x, y))
         all_ = np.bitwise_or.reduceat(1 << order, first) == (1 << ORDERS) - 1
         x, y = x[first[all_]], y[first[all_]]
-        named = np.unique(np.concatenate([x, y])).tolist()
+        named = distinct(np.concatenate([x, y])).tolist()
         packed = [(None, x.tobytes(), y.tobytes())] if len(x) else []
         out = pd.DataFrame([*((s, None, None) for s in named), *packed], columns=["sid", "xs", "ys"], dtype=object)
         out["sid"] = pd.array([*named, *([pd.NA] * len(packed))], "Int64")
@@ -560,7 +597,8 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     n_buckets = max(slots(spark), int(words // BUCKET_POSTINGS) + 1)
-    surveyed = materialise(_survey(docs, n_buckets))
+    n_surveyed = max(slots(spark), int(words // SURVEY_POSTINGS) + 1)
+    surveyed = materialise(_survey(docs, n_surveyed, max(slots(spark), n_surveyed // 4)))
     rows = surveyed.where("n is not null").select("doc_id", "n", "sig", "sig2")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("sid"))
     # a set's own id: its smallest doc_id, but for doc_ids of several sets a number beyond doc_ids
