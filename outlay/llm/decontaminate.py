@@ -43,20 +43,19 @@ class TestSet:
         words = Words([t.encode() for _, t in items], ALNUM)
         self.vocabulary = np.unique(words.hash)
         rank = np.searchsorted(self.vocabulary, words.hash) + 1
-        keys, item, at, n = [], [], [], []
-        for i, (item_id, _) in enumerate(items):
-            own = rank[words.first[i] : words.first[i + 1]]
-            size = min(WINDOW, len(own))
-            for j in range(len(own) - size + 1 if size else 0):
-                keys.append(_padded(own[j : j + size]))
-                item.append(item_id)
-                at.append(j)
-                n.append(size)
-        self.keys = _as_strings(np.array(keys, dtype=">u4").reshape(-1, WINDOW))
-        self.after = _as_strings(np.where(np.arange(WINDOW)[None, :] < np.array(n, dtype=int)[:, None], np.array(keys, dtype=">u4").reshape(-1, WINDOW), 0xFFFFFFFF).astype(">u4"))
-        self.item, self.at, self.n = np.array(item, dtype=np.int64), np.array(at, dtype=np.int64), np.array(n, dtype=np.int64)
+        length = np.diff(words.first)
+        size = np.minimum(WINDOW, length)
+        windows = np.where(size > 0, length - size + 1, 0)
+        which = np.repeat(np.arange(len(items)), windows)
+        self.at = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.item, self.n = np.array([i for i, _ in items], dtype=np.int64)[which], size[which]
+        inside = np.arange(WINDOW) < self.n[:, None]
+        words_of = (words.first[which] + self.at)[:, None] + np.arange(WINDOW)
+        keys = np.where(inside, rank[np.minimum(words_of, len(rank) - 1)], 0)
+        self.keys = _as_strings(keys)
+        self.after = _as_strings(np.where(inside, keys, 0xFFFFFFFF))
         self.lead = min(3, int(self.n.min(initial=WINDOW)))
-        heads = np.array(keys, dtype=np.uint64).reshape(-1, WINDOW)[:, : self.lead]
+        heads = keys[:, : self.lead].astype(np.uint64)
         self.heads = np.unique(_combined([heads[:, i] for i in range(self.lead)]))
         self.low = np.zeros(1 << 16, dtype=bool)
         self.low[self.vocabulary & np.uint64(0xFFFF)] = True
@@ -72,10 +71,6 @@ class TestSet:
         return out
 
 
-def _padded(ranks: np.ndarray) -> np.ndarray:
-    return np.concatenate([ranks, np.zeros(WINDOW - len(ranks), dtype=ranks.dtype)])
-
-
 def _as_strings(ranks: np.ndarray) -> np.ndarray:
     """Rows of big-endian ranks as byte strings that sort as the rows do."""
     return np.ascontiguousarray(ranks.astype(">u4")).view(f"S{4 * WINDOW}").ravel()
@@ -106,8 +101,8 @@ def _suffixes(ranks: np.ndarray, first: np.ndarray, test: TestSet) -> tuple[np.n
     return live, np.where(inside, ranks[np.minimum(steps, len(ranks) - 1)], 0).astype(">u4")
 
 
-def _search(test: TestSet, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(words of each text, its hit words, matches as rows text, item, place, item place, words)."""
+def _shard(test: TestSet, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """(words of each text; text and place of each suffix; the suffix array; each test suffix's interval of it)."""
     n_words = np.zeros(len(texts), dtype=np.int64)
     doc, place, suffix = [], [], []
     for at, part in chunks(texts):
@@ -123,6 +118,22 @@ def _search(test: TestSet, texts: list[str | None]) -> tuple[np.ndarray, list[np
     array = np.argsort(keys, kind="stable")  # the shard's suffix array
     ordered = keys[array]
     low, high = np.searchsorted(ordered, test.keys, side="left"), np.searchsorted(ordered, test.after, side="right")
+    return n_words, doc, place, array, low, high
+
+
+def _hit_texts(test: TestSet, texts: list[str | None]) -> np.ndarray:
+    """Whether each text has a match: intervals are joined, not listed, however many items share a passage."""
+    _, doc, _, array, low, high = _shard(test, texts)
+    some = high > low
+    edges = np.bincount(low[some], minlength=len(array) + 1) - np.bincount(high[some], minlength=len(array) + 1)
+    hit = np.zeros(len(texts), dtype=bool)
+    hit[doc[array[np.cumsum(edges[:-1]) > 0]]] = True
+    return hit
+
+
+def _search(test: TestSet, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(words of each text, its hit words, matches as rows text, item, place, item place, words)."""
+    n_words, doc, place, array, low, high = _shard(test, texts)
     count = np.where(high > low, high - low, 0)
     which = np.repeat(np.arange(len(count)), count)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -204,16 +215,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The documents without any hit word, with all their columns; one pass for each block of items."""
     at = docs.columns.index(text_col)
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(list({text: (i, text) for i, text in block}.values()))  # a text is found once, whoever has it
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             test = TestSet(shared.value)
             for batch in batches:
                 if batch.num_rows:
-                    _, _, runs = _search(test, batch.column(at).to_pylist())
-                    keep = np.ones(batch.num_rows, dtype=bool)
-                    keep[runs[:, 0]] = False
-                    yield batch.filter(pa.array(keep))
+                    yield batch.filter(pa.array(~_hit_texts(test, batch.column(at).to_pylist())))
 
         docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs

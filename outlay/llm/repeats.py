@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.bytes_text import CHUNK_BYTES, give_back, lean, mix, prefix_sums, span_hashes
+from outlay.llm.bytes_text import CHUNK_BYTES, distinct, give_back, lean, mix, prefix_sums, span_hashes
 from outlay.llm.workspace import materialise
 
 WINDOW = 200
@@ -48,9 +48,11 @@ SPLIT = 4096
 _STEP = 34
 #: (bytes before the anchor, bytes from it) of the longer strings that split common anchors.
 _AROUND = [(max(0, WINDOW - _STEP - y), y) for y in range(ANCHOR, WINDOW + 1, _STEP)]
-#: Surroundings that a bucket holds on average, and that a task packs before it sends them.
-BUCKET_ROWS = 20_000
-FLUSH_ROWS = 60_000
+#: Places that a bucket holds on average; places, and distinct surroundings of them, that a task packs before it sends them.
+#: A pack goes to all buckets, so packets grow with the square of the input and shrink with both sizes.
+BUCKET_ROWS = 40_000
+FLUSH_ROWS = 500_000
+FLUSH_DISTINCT = 60_000
 MIN_BUCKETS = 256
 
 _U = np.uint64
@@ -70,8 +72,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         ends_here = bounds[np.searchsorted(bounds, np.arange(at, at + n), side="right")]
         h = span_hashes(sums, starts, starts + ANCHOR) & ~_U(_SEGMENT - 1) | np.arange(len(starts)).astype(_U)
         least = _sliding_min(h, BEFORE + 1)[:n][np.arange(at, at + n) + WINDOW <= ends_here]
-        found.append(np.unique((least & _U(_SEGMENT - 1)).astype(np.int64)) + at)
-    at = np.unique(np.concatenate(found))
+        found.append(distinct((least & _U(_SEGMENT - 1)).astype(np.int64)) + at)
+    at = distinct(np.concatenate(found))
     return at, span_hashes(sums, at, at + ANCHOR)
 
 
@@ -118,6 +120,27 @@ def _places(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "hash long, sig long, pos long")
 
 
+_FACTORS = mix(np.arange(1, 2 * (BEFORE + WINDOW) // 8 + 1, dtype=np.uint64)) | _U(1)
+
+
+def _known_by(key: np.ndarray, ctx: np.ndarray, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each key with its surroundings."""
+    words = mix(np.ascontiguousarray(ctx).view(np.uint64))
+    of, n = mix(key) ^ mix((before.astype(np.uint64) << _U(16)) + behind.astype(np.uint64)), words.shape[1]
+    return mix((words * _FACTORS[:n]).sum(axis=1) + of), mix((words * _FACTORS[n:]).sum(axis=1) ^ mix(of))
+
+
+def _first_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first of each distinct (a, b); and for each row which it has."""
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    member = np.empty(len(by), dtype=np.int64)
+    member[by] = np.cumsum(new) - 1
+    return by[new], member
+
+
 _SENT = "bucket int, hashes binary, before binary, behind binary, contexts binary, member binary, sigs binary, sigs2 binary, pos binary"
 
 
@@ -128,20 +151,36 @@ def _surroundings(joined: DataFrame, n_buckets: int, split: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        rows = 0
+        held: list[tuple] = []  # distinct surroundings of a chunk
+        found_at: list[tuple] = []  # and which of them its rows have
+        rows = kept = 0
+
+        def hold(key: np.ndarray, ctx: np.ndarray, before: np.ndarray, behind: np.ndarray, *where: np.ndarray) -> None:
+            nonlocal rows, kept
+            a, b = _known_by(key, ctx, before, behind)
+            which, member = _first_of(a, b)
+            held.append((key[which], ctx[which], before[which], behind[which], a[which], b[which]))
+            found_at.append((member + kept, *where))
+            rows, kept = rows + len(key), kept + len(which)
 
         def flush() -> pa.RecordBatch:
-            key, ctx, before, behind, sig, sig2, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (mix(key) % _U(n_buckets)).astype(np.int64)
-            out = []
+            key, ctx, before, behind, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            member, sig, sig2, pos = (np.concatenate(x) for x in zip(*found_at, strict=True))
+            which, merged_ = _first_of(a, b)
+            bucket = (mix(key[which]) % _U(n_buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-            for i, j in zip(edges, [*edges[1:], len(by)], strict=True):
-                own = by[i:j]
-                which, member = _distinct(key[own], before[own], behind[own], ctx[own])
-                some = own[which]
-                out.append((int(bucket[own[0]]), key[some].tobytes(), before[some].tobytes(), behind[some].tobytes(), ctx[some].tobytes(), member.astype(np.int32).tobytes(), sig[own].tobytes(), sig2[own].tobytes(), pos[own].astype(np.int32).tobytes()))
+            which, bucket = which[by], bucket[by]
+            place = np.empty(len(by), dtype=np.int64)
+            place[by] = np.arange(len(by))
+            member = place[merged_[member]]
+            by = np.argsort(member, kind="stable")
+            member, sig, sig2, pos = member[by].astype(np.int32), sig[by], sig2[by], pos[by].astype(np.int32)
+            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            of = np.searchsorted(member, edges)
+            out = []
+            for i, j, k, m in zip(edges[:-1].tolist(), edges[1:].tolist(), of[:-1].tolist(), of[1:].tolist(), strict=True):
+                some = which[i:j]
+                out.append((int(bucket[i]), key[some].tobytes(), before[some].tobytes(), behind[some].tobytes(), ctx[some].tobytes(), (member[k:m] - np.int32(i)).tobytes(), sig[k:m].tobytes(), sig2[k:m].tobytes(), pos[k:m].tobytes()))
             kinds = [pa.int32()] + [pa.binary()] * 8
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
 
@@ -184,11 +223,10 @@ def _surroundings(joined: DataFrame, n_buckets: int, split: int) -> DataFrame:
                         parts.append((fits, mix(span_hashes(sums, at - np.where(fits, x, 0), at + np.where(fits, y, 0)) + _U(y))))
                 for mask, key in parts:
                     if mask.any():
-                        held.append((key[mask], ctx[mask], before[mask], behind[mask], sigs[own[mask] + first], sigs2[own[mask] + first], pos[mask]))
-                        rows += int(mask.sum())
-                if rows >= FLUSH_ROWS:
+                        hold(key[mask], ctx[mask], before[mask], behind[mask], sigs[own[mask] + first], sigs2[own[mask] + first], pos[mask])
+                if rows >= FLUSH_ROWS or kept >= FLUSH_DISTINCT:
                     yield flush()
-                    held, rows = [], 0
+                    held, found_at, rows, kept = [], [], 0, 0
         if held:
             yield flush()
 

@@ -26,6 +26,7 @@ no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,10 +61,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@functools.lru_cache(maxsize=256)
 def _decays(n: int, decay: float) -> np.ndarray:
     """decay ** (row - column), on and below the diagonal."""
     steps = np.arange(n)[:, None] - np.arange(n)[None, :]
-    return np.where(steps >= 0, np.float32(decay) ** np.maximum(steps, 0), 0).astype(np.float32)
+    out = np.where(steps >= 0, np.float32(decay) ** np.maximum(steps, 0), 0).astype(np.float32)
+    out.flags.writeable = False
+    return out
 
 
 def subsequence_kernel(landmark: np.ndarray, units: np.ndarray, order: int, decay: float) -> np.ndarray:
@@ -151,7 +155,11 @@ class Kernels:
             self._remember(key[new[~some]], key[new[some]], v[len(here) :])
             row = row_of[which]
             own = np.flatnonzero(row >= 0)
-            np.maximum.at(out, owner[own] + first, v[row[own]])
+            if len(own):
+                own = own[np.argsort(owner[own], kind="stable")]
+                of = owner[own]
+                begins = np.flatnonzero(np.diff(of, prepend=-1))
+                out[of[begins] + first] = np.maximum.reduceat(v[row[own]], begins, axis=0)
         return out
 
     def _remember(self, dull: np.ndarray, live: np.ndarray, values: np.ndarray) -> None:

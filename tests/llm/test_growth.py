@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from outlay.llm import jaccard
+from outlay.llm import decontaminate, jaccard, repeats
 
 
 def test_survey_sends_a_packet_a_bucket(spark):
@@ -29,3 +29,25 @@ def test_signatures_are_those_of_single_sets():
     a, b = jaccard._signatures(sets)
     assert list(zip(a, b, strict=True)) == [jaccard.signature(s) for s in sets]
     assert jaccard._signatures([]) == ([], [])
+
+
+def test_items_that_share_a_passage_are_not_listed_by_text():
+    """10 000 items of one passage, 10 000 texts that hold it: a hundred million matches, of which only the texts are asked."""
+    passage = "one two three four five six seven eight nine ten"
+    test = decontaminate.TestSet([(i, passage) for i in range(10_000)])
+    texts = [f"{i} {passage}" if i % 2 else f"{i}" for i in range(20_000)]
+    assert decontaminate._hit_texts(test, texts).tolist() == [i % 2 == 1 for i in range(20_000)]
+    assert not decontaminate._hit_texts(decontaminate.TestSet([]), texts[:2]).any()
+    assert decontaminate._hit_texts(decontaminate.TestSet([(1, "nine")]), [passage, None, ""]).tolist() == [True, False, False]
+
+
+def test_surroundings_are_told_apart():
+    """By each byte, also where only top bits differ, by key and by where a text begins and ends."""
+    ctx = np.zeros((340, repeats.BEFORE + repeats.WINDOW), np.uint8)
+    ctx[np.arange(336), np.arange(336)] = 128
+    ctx[336, [7, 15]] = 128
+    key, before, behind = np.ones(340, np.uint64), np.full(340, 9, np.int16), np.full(340, 9, np.int16)
+    key[337], before[338], behind[339] = 2, 8, 8
+    which, member = repeats._first_of(*repeats._known_by(*(np.concatenate([x, x[::-1]]) for x in (key, ctx, before, behind))))
+    assert len(which) == 340
+    assert (member[:340] == member[340:][::-1]).all() and sorted(member[:340]) == list(range(340))
